@@ -5,7 +5,7 @@ offsets in the original text.
 Normalisation lower-cases A-Z and takes maximal runs of letters, digits and
 non-ASCII characters as words. An item gives one pattern for every WINDOW
 consecutive words, or its whole word sequence if it is shorter. The automaton
-reads word numbers, so a match is always of whole words.
+reads the words with a space around each, so a match is always of whole words.
 
 Defined cases: a null or empty text has no words and no hit; an item with a
 null id or without words has no pattern; items with equal texts are each
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 #: An automaton holds this much benchmark text at most, some 100 MB; a larger benchmark is scanned in several blocks.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -40,28 +40,35 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def spaced(own: list[bytes] | tuple[bytes, ...]) -> str:
+    return (b" " + b" ".join(own) + b" ").decode("latin-1")
+
+
 class Automaton:
-    """Patterns of word numbers; find() gives (first word, past last, item ids)."""
+    """Patterns of whole words; find() gives (first word, past last, item ids)."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.numbers: dict[bytes, int] = {}
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.machine = ahocorasick.Automaton()
+        owners: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
-            own = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text))
+            own = tuple(words(text))
             for k in range(max(1, len(own) - window + 1) if own else 0):
                 owners.setdefault(own[k : k + window], set()).add(item)
         for pattern, who in owners.items():
-            self.machine.add_word(pattern, (len(pattern), sorted(who)))
+            self.machine.add_word(spaced(pattern), (len(pattern), sorted(who)))
         self.any = bool(owners)
         if self.any:
             self.machine.make_automaton()
 
     def find(self, own: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
-        if self.any and own:
-            get = self.numbers.get
-            for end, (size, who) in self.machine.iter(tuple([get(w, 0) for w in own])):
-                yield end - size + 1, end + 1, who
+        if not self.any or not own:
+            return
+        ends = None
+        for last, (size, who) in self.machine.iter(spaced(own)):
+            if ends is None:  # offset of the space after each word
+                ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+            end = int(np.searchsorted(ends, last)) + 1
+            yield end - size, end, who
 
 
 _BUILT: dict[str, Automaton] = {}
