@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, secret_scan, sharding
+from . import ann, decontam, mixing, neardup, quality, secret_scan, sharding
 from .shared import load
 
 
@@ -52,11 +52,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return ann.search(vectors, vectors.filter("id % 50 = 0").select("id"), k=5)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     held = F.coalesce(quality.fold(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_secret_scan, op5_minhash, op6_sharding, op7_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_secret_scan, op5_minhash, op6_sharding, op7_mixing, op8_neighbours, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
