@@ -143,7 +143,7 @@ class Page:
         n = text.count(" ") + 1
         size = "1" if n < 3 else "3" if n < 8 else "8" if n < 20 else "20"
         self.parent.append(parent)
-        self.features.append(["text=" + size, "linked=" + ("0" if linked < 0.2 else "1" if linked < 0.7 else "2"), "stop=" + ("1" if text[-1] in ".!?:;。…" else "0")])
+        self.features.append(["text=" + size, "linked=" + ("0" if linked < 0.2 else "1" if linked < 0.7 else "2")])
         self.texts.append(text)
         self.labels.append(self.labels[parent])
 
@@ -254,6 +254,7 @@ def labelled_pages() -> list[str]:
         f"<h2>{title}</h2><div><p>{short}</p><p>{long}</p></div><table><tr><th>One</th><td>{short}</td></tr></table><p>{long}</p>",
         f"<section><h2>{title}</h2><p>{long}</p></section><figure><figcaption>{short}</figcaption></figure><ol><li>{long}</li></ol>",
         f"<p>{short}</p>", f"<h1>{title}</h1><p>{title}</p>", f"<div>{long}</div><div>{short}</div>",
+        f"<h1>{title}</h1>" + f"<p>{title}</p>" * 60, f"<p>{long.strip(' .')}</p>" * 40 + "<p>One</p>" * 20 + "<p>One.</p>" * 80, f"<h1>{title}</h1><p>{title} and more of it, {title}</p>" * 30,
     ]
     hosts = ["<article y=1>{}</article>", "<main y=1>{}</main>", '<div class="content" y=1>{}</div>', '<div id="main-content" y=1>{}</div>', '<div class="post entry" y=1>{}</div>', '<main y=1><article class="post">{}</article></main>', '<section class="article body" y=1>{}</section>', '<div class="article-body story text" y=1>{}</div>']
     tops = [
@@ -264,16 +265,16 @@ def labelled_pages() -> list[str]:
     tails = [
         f"<footer><p>{short}</p>{links('p')}</footer>", f'<aside class="sidebar"><h3>{title}</h3><p>{long}</p><ul>{links("li")}</ul></aside>', f'<div class="sidebar widget"><p>{long}</p></div>', f'<div id="footer" class="footer"><p>{long}</p></div>',
         f'<div class="ad">{short}</div>', f'<div class="ads advert advertisement sponsor sponsored promo"><p>{long}</p></div>', f'<form><label>{title}</label><p>{short}</p></form>', f'<div class="newsletter subscribe signup"><form><p>{short}</p></form></div>',
-        f'<div class="share social">{links("li")}</div>', f'<section class="related recommended"><h2>{title}</h2><ul>{links("li")}</ul></section>', f'<div class="copyright legal">{short}</div>',
+        f'<div class="share social">{links("li")}</div>', f"<footer>{'<p>One.</p>' * 12}</footer>", f'<section class="related recommended"><h2>{title}</h2><ul>{links("li")}</ul></section>', f'<div class="copyright legal">{short}</div>',
     ]
     inner = [
         f'<section class="comments" y=0><h3>{title}</h3><div class="comment"><p>{long}</p></div><div class="comment reply"><p>{short}</p></div></section>', f'<div id="comments" class="comment-list responses" y=0><ol><li class="comment"><p>{long}</p></li></ol></div>',
         f'<aside y=0><p>{long}</p></aside>', f'<div class="ad" y=0>{long}</div>', f'<form y=0><label>{title}</label><p>{long}</p></form>', f'<footer y=0><p>{short}</p></footer>', f'<nav y=0>{links("li")}</nav>', f'<div class="share social" y=0>{links("li")}</div>', "", "", "", "",
     ]
     out = []
-    for k in range(176):
-        body = content[k % 8] + inner[(k * 5 + k // 12) % 12]
-        page = tops[(k + k // 8) % 8] + tops[(3 * k + 1) % 8] + hosts[(k // 2) % 8].format(body) + tails[k % 11] + tails[(4 * k + 3) % 11] + (inner[(k // 3) % 2] if k % 4 == 0 else "")
+    for k in range(264):
+        body = content[k % 11] + inner[(k * 5 + k // 12) % 12]
+        page = tops[(k + k // 8) % 8] + tops[(3 * k + 1) % 8] + hosts[(k // 2 + k) % 8].format(body) + tails[(k + k // 12) % 12] + tails[(5 * k + 3) % 12] + (inner[(k // 3) % 2] if k % 4 == 0 else "")
         out.append(f"<html><body>{'<div class=page>' * (k % 3)}{page}{'</div>' * (k % 3)}</body></html>")
     return out
 
