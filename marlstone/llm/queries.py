@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_text, mixing, neardup, quality, secret_scan, sharding
+from . import ann, decontam, html_text, mixing, neardup, quality, secret_scan, sharding, substrings
 from .shared import load
 
 
@@ -25,6 +25,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(load(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.scan(load(spark, sf_dir, "documents"))
     spans = F.col("findings")
@@ -67,5 +71,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op4_secret_scan, op5_minhash, op6_sharding, op7_mixing, op8_neighbours, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_substring_dedup, op4_secret_scan, op5_minhash, op6_sharding, op7_mixing, op8_neighbours, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
