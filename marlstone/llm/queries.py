@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_text, mixing, neardup, quality, secret_scan, sharding, substrings
+from . import ann, decontam, html_text, mixing, neardup, quality, secret_scan, sharding, substrings, suffixes
 from .shared import load
 
 
@@ -65,11 +65,15 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter("id % 50 = 0").select("id"), k=5)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(load(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     held = F.coalesce(quality.fold(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_substring_dedup, op4_secret_scan, op5_minhash, op6_sharding, op7_mixing, op8_neighbours, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_substring_dedup, op4_secret_scan, op5_minhash, op6_sharding, op7_mixing, op8_neighbours, op9_suffix_dedup, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
