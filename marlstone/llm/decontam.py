@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import ahocorasick
 import numpy as np
@@ -117,6 +117,34 @@ def _original(text: str, at: list[int]) -> list[dict[str, int]]:
     return out
 
 
+def _drop(batches: Iterator[pa.RecordBatch], key: str, items, window: int) -> Iterator[pa.RecordBatch]:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automaton(items.value, window)
+    machine = _BUILT[key]
+    for batch in batches:
+        yield batch.filter(pa.array([next(machine.find(words(t.as_py())), None) is None for t in batch.column("text")], pa.bool_()))
+
+
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's (id, text) rows in blocks of about block_bytes of text, one after another on the driver."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words")).dropna()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
+    for k in range(blocks):
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
+        yield [tuple(r) for r in part.collect()]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which no benchmark window occurs, with all their columns."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for block in blocks_of(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(partial(_drop, key=uuid.uuid4().hex, items=shared, window=window), fields)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per row of docs: doc_id, n_words, hit_words (word numbers), items, spans.
 
@@ -124,19 +152,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     block needs no shuffle; more are scanned in turn and merged by doc_id (ids
     are then taken to be unique).
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words")).dropna()
-    total, longest = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)), F.coalesce(F.max(F.octet_length("words")), F.lit(0))).first()
-    blocks = max(1, -(-total // max(1, block_bytes - longest))) if longest < block_bytes else max(1, total // max(1, block_bytes // 2))
     schema = SCHEMA.format(docs.schema["doc_id"].dataType.simpleString())
     plain = docs.select("doc_id", "text")
-    out = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # block_bytes of text or so
-        one = plain.mapInArrow(partial(_scan, key=uuid.uuid4().hex, items=shared, window=window), schema)
-        out = one if out is None else out.unionByName(one)
-    if blocks == 1:
-        return out
+    parts = []
+    for block in blocks_of(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        parts.append(plain.mapInArrow(partial(_scan, key=uuid.uuid4().hex, items=shared, window=window), schema))
+    if len(parts) == 1:
+        return parts[0]
+    out = reduce(DataFrame.unionByName, parts)
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), flat("hit_words").alias("hit_words"), flat("items").alias("items"), flat("spans").alias("spans"))

@@ -11,13 +11,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's own spark.checkpoint.dir.
 
-    The folder is the cluster's own spark.checkpoint.dir; only where that is
-    unset, as in local tests, is a temporary one made.
+    Only where that is unset, as in local tests, is a temporary one made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marlstone-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
