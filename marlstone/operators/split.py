@@ -88,13 +88,16 @@ def components(content: str, file: str) -> str:
 
 
 def fixed_windows(content: str, file: str, size: int) -> str:
-    """Windows of `size` characters; those of fewer than 10 bytes after trimming are left out, and lines are counted by newlines."""
+    """Windows of `size` characters; those of fewer than 10 bytes after trimming are left out, and lines are counted by newlines.
+
+    One pass of a pattern cuts the text, and a fold counts lines: linear in its length.
+    """
     newlines = lambda x: f"(length({x}) - length(replace({x}, {_LINE}, '')))"
-    end = f"least(i + {size}, length({content}))"
-    start_line = f"1 + {newlines(f'substr({content}, 1, i)')}"
-    end_line = f"greatest({start_line}, 1 + {newlines(f'substr({content}, 1, {end} - 1)')})"
-    windows = f"transform(sequence(0, greatest(length({content}) - 1, 0), {size}), i -> {chunk(start_line, end_line, f'element_at(split({file}, {D.text('/')}), -1)', D.text('file'), f'substr({content}, i + 1, {size})')})"
-    return f"filter({windows}, c -> octet_length({D.trim('spark', 'c.content')}) >= {R.MIN_WINDOW_BYTES})"
+    inner = newlines("left(w, length(w) - 1)")
+    piece = chunk("1 + acc.nl", f"1 + acc.nl + {inner}", f"element_at(split({file}, {D.text('/')}), -1)", D.text("file"), "w")
+    kept = f"if(octet_length({D.trim('spark', 'w')}) >= {R.MIN_WINDOW_BYTES}, array_append(acc.out, {piece}), acc.out)"
+    step = f"named_struct('nl', acc.nl + {newlines('w')}, 'out', {kept})"
+    return f"aggregate(regexp_extract_all({content}, r'(?s).{{1,{size}}}', 0), named_struct('nl', 0, 'out', {NONE}), (acc, w) -> {step}, acc -> acc.out)"
 
 
 def packed(chunks: str, size: int) -> str:
