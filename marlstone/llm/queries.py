@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_text, mixing, neardup, quality, secret_scan, sharding, substrings, suffixes
+from . import ann, decontam, html_text, mixing, neardup, oracles, quality, secret_scan, sharding, substrings, suffixes
 from .shared import load
 
 
@@ -76,4 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_substring_dedup, op4_secret_scan, op5_minhash, op6_sharding, op7_mixing, op8_neighbours, op9_suffix_dedup, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": oracles.DECONTAMINATION,
+    "op3_substring_dedup": oracles.SUBSTRINGS,
+    "op5_minhash": oracles.NEAR_DUPLICATES,
+    "op6_sharding": oracles.SHARDING,
+    "op9_suffix_dedup": oracles.SUFFIXES,
+}

@@ -58,9 +58,15 @@ def feistel(x: Column, n: int) -> Column:
     """One pass over [0, a * b), without the walk."""
     a, b = rectangle(n)
     pair = F.struct(F.floor(x / b).cast("bigint").alias("l"), (x % b).alias("r"))
+
+    def even(key: int):  # a lambda's second parameter would be taken for an index
+        return lambda p: F.struct(((p["l"] + round_value(key, p["r"], a)) % a).alias("l"), p["r"].alias("r"))
+
+    def odd(key: int):
+        return lambda p: F.struct(p["l"].alias("l"), ((p["r"] + round_value(key, p["l"], b)) % b).alias("r"))
+
     for k, key in enumerate(ROUND_KEYS):
-        step = (lambda p, key=key: F.struct(((p["l"] + round_value(key, p["r"], a)) % a).alias("l"), p["r"].alias("r"))) if k % 2 == 0 else (lambda p, key=key: F.struct(p["l"].alias("l"), ((p["r"] + round_value(key, p["l"], b)) % b).alias("r")))
-        pair = F.transform(F.array(pair), step)[0]
+        pair = F.transform(F.array(pair), odd(key) if k % 2 else even(key))[0]
     return F.transform(F.array(pair), lambda p: p["l"] * b + p["r"])[0]
 
 
