@@ -83,7 +83,8 @@ def fit(sample: np.ndarray, curves: int, axes: int) -> list[tuple[np.ndarray, np
     """(projection, least, width) of each curve; axes come in order of their variance, again from the first if they run out."""
     d = sample.shape[1]
     rng = np.random.default_rng(SEED)
-    _, _, basis = np.linalg.svd(sample - sample.mean(axis=0), full_matrices=True)
+    centred = sample - sample.mean(axis=0)
+    basis = np.linalg.eigh(centred.T @ centred)[1].T[::-1]  # dimension x dimension, whatever the sample
     out = []
     for s in range(curves):
         p = basis[(np.arange(axes) + s * axes) % d].T
