@@ -58,7 +58,7 @@ class Page:
 
     def __init__(self, html: str, labelled: bool = False):
         self.parent: list[int] = [-1]
-        self.features: list[list[str]] = [["tag=root"]]
+        self.features: list[list[str]] = [[]]
         self.texts: list[str | None] = [None]
         self.labels: list[int] = [0]
         stack: list[tuple[str, int]] = [("root", 0)]
@@ -128,7 +128,7 @@ class Page:
                     stack.pop()
                 marks = [next(filter(None, x), "") for x in _MARKS.findall(m[3])] if m[3] else []
                 self.parent.append(stack[-1][1])
-                own = ["tag=" + name] + ["mark=" + w for w in dict.fromkeys(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", " ".join(marks)).lower()))]
+                own = ([] if name in ("html", "body", "div") else ["tag=" + name]) + ["mark=" + w for w in dict.fromkeys(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", " ".join(marks)).lower()))]
                 self.features.append(own)
                 self.texts.append(None)
                 y = self.labels[stack[-1][1]]
@@ -170,7 +170,9 @@ class Model:
     observed minus expected counts, the expectations from the same messages.
     """
 
-    STEPS, RATE, PULL = 250, 0.5, 0.002
+    STEPS, RATE, PULL = 200, 0.5, 0.002
+    #: Features of text alone are held back: where a text stands says more.
+    TEXT_PULL = 0.05
 
     def __init__(self, pages: list[str]):
         trees = [Page(h, labelled=True) for h in pages]
@@ -189,11 +191,12 @@ class Model:
         child = np.flatnonzero(level > 0)
         observed = np.zeros((2, 2))
         np.add.at(observed, (y[parent[child]].astype(int), y[child].astype(int)), 1)
+        pull = np.array([self.TEXT_PULL if f.startswith(("text=", "linked=")) else self.PULL for f in number])
         pace_w, pace_e = np.full(len(number), 1e-6), np.full((2, 2), 1e-6)
         for _ in range(self.STEPS):
             odds, pairs = self.marginals(parent, level, np.bincount(node, w[feature], len(parent)), pairs=True)
             p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-            g = np.bincount(feature, (y - p)[node], len(number)) / seen - self.PULL * w
+            g = np.bincount(feature, (y - p)[node], len(number)) / seen - pull * w
             e = (observed - pairs) / max(1, len(child)) - self.PULL * self.edge
             pace_w += g * g
             pace_e += e * e
@@ -271,11 +274,25 @@ def labelled_pages() -> list[str]:
         f'<section class="comments" y=0><h3>{title}</h3><div class="comment"><p>{long}</p></div><div class="comment reply"><p>{short}</p></div></section>', f'<div id="comments" class="comment-list responses" y=0><ol><li class="comment"><p>{long}</p></li></ol></div>',
         f'<aside y=0><p>{long}</p></aside>', f'<div class="ad" y=0>{long}</div>', f'<form y=0><label>{title}</label><p>{long}</p></form>', f'<footer y=0><p>{short}</p></footer>', f'<nav y=0>{links("li")}</nav>', f'<div class="share social" y=0>{links("li")}</div>', "", "", "", "",
     ]
+    # any of the surroundings may also stand inside the content
+    inner += [re.sub(r"^<(\w+)", r"<\1 y=0", part) for part in tops + tails]
+    # of several class words now and then only one
+    def one(part: str, k: int) -> str:
+        return re.sub(r'class="([^"]*)"', lambda m: f'class="{m[1].split()[k % len(m[1].split())]}"', part)
+
+    inner += ["<form y=0><p>" + long + "</p></form>", "<form y=0>" + short + "</form>", "<aside y=0>" + long + "</aside>"]
+    for tag in ("section", "div", "aside", "ol"):
+        for mark in ("class=comments", "id=comments", "class=comment", "class=replies"):
+            inner += [f"<{tag} {mark} y=0><h3>{title}</h3><p>{long}</p></{tag}>", f"<{tag} {mark} y=0><p>{short}</p><p>{long}</p></{tag}>"]
+    surroundings = inner[:]
+    for k in range(4):
+        inner += [one(part, k) for part in surroundings if part.count(" ") and 'class="' in part]
     out = []
-    for k in range(264):
-        body = content[k % 11] + inner[(k * 5 + k // 12) % 12]
-        page = tops[(k + k // 8) % 8] + tops[(3 * k + 1) % 8] + hosts[(k // 2 + k) % 8].format(body) + tails[(k + k // 12) % 12] + tails[(5 * k + 3) % 12] + (inner[(k // 3) % 2] if k % 4 == 0 else "")
-        out.append(f"<html><body>{'<div class=page>' * (k % 3)}{page}{'</div>' * (k % 3)}</body></html>")
+    for k in range(480):
+        body = content[k % 11] + inner[(k * 5 + k // 11) % len(inner)]
+        page = tops[(k + k // 8) % 8] + hosts[(k // 2 + k) % 8].format(body) + tails[(k + k // 12) % 12] + tails[(5 * k + 3) % 12]
+        page = page if k % 3 == 1 else one(page, k // 3) if k % 3 == 2 else hosts[(k // 2 + k) % 8].format(body + inner[(k * 7 + 1) % len(inner)])
+        out.append(f"<html><body>{'<div>' * (k % 4)}{page}{'</div>' * (k % 4)}</body></html>" if k % 5 else page)
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import mixing, queries, secret_scan, sharding
 
-ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
 def secrets_model(text):
@@ -37,7 +37,7 @@ def test_secrets_against_brute_force(spark):
 def test_added_rules(spark):
     text = "ghp_" + "a1" * 18 + " -----BEGIN RSA PRIVATE KEY-----"
     found, _ = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
-    assert found.select(secret_scan.render(F.col("findings"))).first()[0] == "github:0:40,pem:41:72"
+    assert found.select(secret_scan.render(F.col("findings"))).first()[0] == "github:0:40,hex:4:40,pem:41:72"
 
 
 def test_only_unseen_blobs_are_scanned(spark):
