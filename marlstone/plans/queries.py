@@ -297,6 +297,22 @@ def stats_daily(spark, sf_dir):
     return stats.daily(_measured(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query(f"select strftime(day, '%Y-%m-%d') as day, * exclude (day) from ({_DAILY})")
+def stats_daily_stream(spark, sf_dir):
+    """The same days from a stream: the calls are read as they come, up to what is there now."""
+    import tempfile
+    import uuid
+
+    from marlstone.streaming import calls
+
+    name = f"calls_{uuid.uuid4().hex}"
+    folder = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    rows(spark, sf_dir, C.CALLS).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/{name}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}/in").schema).parquet(f"{folder}/{name}/in")
+    calls.start(calls.daily_stream(stream), name, f"{folder}/{name}/state", every=None).awaitTermination()
+    return spark.table(name).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query(f"select strftime(day, '%Y-%m-%d') as day, * exclude (day) from ({_DAILY}) where day >= (select max(day) from ({_DAILY})) - interval 10 day")
 def stats_retention(spark, sf_dir):
     return stats.daily(_measured(spark, sf_dir), 10).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
