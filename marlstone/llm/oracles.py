@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .secret_scan import BASE, RULES
 from .sharding import HEADER_BYTES, ROUND_KEYS, WALK, round_value
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -71,3 +72,30 @@ s as (select *, a, cast(ceil(n / a) as bigint) as b from (select *, cast(floor(s
 f as (select *, {_feistel('x')} as y from s),
 walk as (select doc_id, size, text_crc32, n, a, b, y, 0 as step from f union all select doc_id, size, text_crc32, n, a, b, {_feistel('y')}, step + 1 from walk where y >= n and step < {WALK})
 select doc_id, size, text_crc32, 'rows' as law, cast(y % 24 as integer) as shard, cast(y // 24 as bigint) as slot, cast(null as integer) as grown_shard from walk where y < n"""
+
+
+def _secrets() -> str:
+    """Gaps between matches give offsets here too; letters in either case are spelt out, as (?i) would fold beyond ASCII."""
+    parts = []
+    for k, (_, pattern, group, least) in enumerate(RULES):
+        if pattern.startswith("(?i)"):
+            head, _, rest = pattern[4:].partition(")")
+            pattern = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in head) + ")" + rest
+        p = pattern.replace("'", "''")
+        parts.append(
+            f"select doc_id, {k} as kind, string_split_regex(text, '{p}') as g, regexp_extract_all(text, '{p}') as w, list_transform(regexp_extract_all(text, '{p}', {group}), lambda v: length(v) >= {least}) as ok from d where regexp_matches(text, '{p}')"
+        )
+    names = ", ".join(f"'{r[0]}'" for r in RULES)
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda v: length(v))), 0)"
+    shown = "concat(([{}])[kind + 1], ':', s, ':', e)".format(names)
+    count = lambda k: f"cast(count(*) filter (kind = {k}) as bigint)"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+m as ({' union all '.join(parts)}),
+i as (select *, unnest(range(1, len(w) + 1)) as n from m),
+s as (select doc_id, kind, {total('g[1:n]')} + {total('w[1:n - 1]')} as s, {total('g[1:n]')} + {total('w[1:n]')} as e from i where ok[n]),
+a as (select doc_id, {count(0)} as n_assign, {count(1)} as n_access, {count(2)} as n_hex, string_agg({shown}, ',' order by s, kind) as spans, string_agg(case when kind < {BASE} then {shown} end, ',' order by s, kind) as base from s group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (doc_id)"""
+
+
+SECRETS = _secrets()

@@ -79,6 +79,7 @@ QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": oracles.DECONTAMINATION,
     "op3_substring_dedup": oracles.SUBSTRINGS,
+    "op4_secret_scan": oracles.SECRETS,
     "op5_minhash": oracles.NEAR_DUPLICATES,
     "op6_sharding": oracles.SHARDING,
     "op9_suffix_dedup": oracles.SUFFIXES,
