@@ -8,6 +8,7 @@ that is current when it starts.
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 import threading
 import time
@@ -245,7 +246,11 @@ def main() -> None:
         print("marlstone 1")
         return
     spark = SparkSession.builder.appName(f"marlstone-{uuid.uuid4().hex[:6]}").getOrCreate()
-    engine = Engine(spark, args.store, EngineConfig.load())
+    config = EngineConfig.load()
+    remote = None  # without a provider in the environment the hashing embedder stands in
+    if os.environ.get("EMBEDDING_PROVIDER"):
+        remote = vectors.HttpEmbedder(config.provider, config.urls[config.provider], config.models[config.provider], config.dimension, config.keys.get(config.provider, ""))
+    engine = Engine(spark, args.store, config, remote)
     if args.index:
         print(json.dumps(engine.index_project(args.index)))
         return
