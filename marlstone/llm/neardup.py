@@ -9,8 +9,8 @@ are cut into bands; texts that agree on a whole band share a bucket.
 
 Texts with equal sets are one class from the start. In each bucket every class
 is compared with the bucket's least class first; confirmed links are joined
-into components; then all pairs of classes that share a bucket and are still in
-different components are compared. So no pair inside a component is listed
+into components; then the classes in buckets that still hold several components
+are searched for links across components by an exact prefix join. So no pair inside a component is listed
 twice, copies are never paired, and no candidate is dropped. Links are always
 confirmed on full shingle sets (64-bit shingle hashes).
 
@@ -30,7 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -38,6 +38,8 @@ from .shared import cut
 
 SHINGLE = 5
 BANDS, ROWS = 36, 8
+#: A set's bitmap for the exact bound on differences, in words of 64 bits.
+MARKS = 16
 #: Links need percent * union <= 100 * intersection.
 PERCENT = 85
 U = K.U
@@ -113,7 +115,12 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         for lo, hi, data, offsets in K.pieces(batch.column("text")):
             h, at = shingle_sets(data, offsets, size)
             raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["rep", "elements"])
+            n_rows = hi - lo
+            mark = np.zeros((n_rows, 64 * MARKS), bool)
+            mark[np.repeat(np.arange(n_rows), np.diff(at)), (K.mix(h) % U(64 * MARKS)).astype(np.int64)] = True
+            marks = np.packbits(mark, axis=1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n_rows * MARKS + 1, MARKS, dtype=np.int32)), pa.array(marks.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), lists], names=["rep", "elements", "marks"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -157,6 +164,50 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return xy.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), f"a {kind}, b {kind}")
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            h = np.frombuffer(batch.column("elements")[k].as_buffer(), np.int64)
+            same = batch.slice(k, 1).select(["rep", "n", "label"]).take(pa.array(np.zeros(len(h), np.int64)))
+            yield pa.RecordBatch.from_arrays([*same.columns, pa.array(h)], names=["rep", "n", "label", "key"])
+
+
+def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """(a, b): every pair of rows (rep, n, label) with different labels that may still reach the similarity.
+
+    A prefix join, which is exact: with every set's elements in one common
+    order, two sets that reach percent % share one of the first
+    n - ceil(percent * n / 100) + 1 of each. Rare elements come first, so what
+    an edited copy has for itself fills its prefix and meets nobody. Two more exact
+bounds are part of the join: how many common elements there can be around a
+common place, and how many differences the sets' bitmaps prove.
+    """
+    spread = sets.join(rows, "rep").select("rep", "n", "label", "elements").mapInArrow(_spread, f"rep {kind}, n bigint, label {kind}, key bigint")
+    common = spread.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("c", F.lit(1)), "key"))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    # of two sets the smaller needs a shorter prefix: with t = percent / 100, n - ceil(2 t n / (1 + t)) + 1
+    near = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    ranked = spread.join(common, "key", "left").withColumn("rank", rank).filter((F.col("rank") <= reach) & F.col("c").isNotNull())
+    prefix = cut(ranked.select("key", "rep", "n", "label", "rank", (F.col("rank") <= near).alias("near")))
+    most = prefix.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("major"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    mixed = prefix.join(most, "key").join(sets.select("rep", "marks"), "rep")
+    # the rows outside an element's most frequent component against all of its rows
+    minor = mixed.filter("label <> major").select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("rank").alias("pr"), F.col("near").alias("pnear"), F.col("marks").alias("pmarks"))
+    close = 100 * F.least("pn", "n") >= percent * F.greatest("pn", "n")
+    smaller = (F.col("pn") < F.col("n")) | ((F.col("pn") == F.col("n")) & (F.col("p") < F.col("rep")))
+    short = F.when(smaller, F.col("pnear")).otherwise(F.col("near"))
+    # a common element at places i and j leaves room for so many common ones before and after it
+    room = F.least("pr", "rank") + F.least(F.col("pn") - F.col("pr"), F.col("n") - F.col("rank"))
+    enough = (100 + percent) * room >= percent * (F.col("pn") + F.col("n"))
+    # every place where two bitmaps differ stands for an element that only one set has
+    apart = sum((F.bit_count(F.get("pmarks", F.lit(k)).bitwiseXOR(F.get("marks", F.lit(k)))) for k in range(MARKS)), F.lit(0))
+    enough &= (100 + percent) * apart <= (100 - percent) * (F.col("pn") + F.col("n"))
+    once = (F.col("label") == F.col("major")) | (F.col("p") < F.col("rep"))
+    met = minor.join(mixed, (minor["key"] == mixed["key"]) & (F.col("pl") != F.col("label")) & once & close & short & enough)
+    return met.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (the least id of its group)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -169,18 +220,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     member = cut(banded.join(buckets, "key").select("key", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
     close = lambda p, q: (100 * F.least(F.col(p), F.col(q)) >= percent * F.greatest(F.col(p), F.col(q)))
     wanted = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(plain.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=size), f"rep {kind}, elements binary"))
+    sets = cut(plain.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=size), f"rep {kind}, elements binary, marks array<bigint>"))
     star = member.filter((F.col("rep") != F.col("pivot")) & close("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(confirm(star, sets, percent))
     found = components(links, kind)
     # pairs across components: in each bucket, the members outside its most frequent component against all of its members
-    placed = cut(member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"), "pivot"))
+    placed = cut(member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")))
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-    mixed = placed.join(major.select("key", F.col("most.label").alias("major")), "key")
-    minor = mixed.filter("label <> major").select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-    cross = minor.join(mixed, "key").filter((F.col("pl") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("p") < F.col("rep"))) & (F.col("p") != F.col("pivot")) & (F.col("rep") != F.col("pivot")) & close("pn", "n"))
-    more = cross.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    split = sizes.groupBy("key").agg(F.count("*").alias("labels")).filter("labels > 1").select("key")
+    open_ = cut(placed.join(split, "key", "left_semi").select("rep", "n", "label").distinct())
+    more = cross_pairs(open_, sets, percent, kind)
     links = links.unionByName(cut(confirm(more, sets, percent)))
     found = components(links, kind)
     rep = classes.select(*same, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component_id"))
