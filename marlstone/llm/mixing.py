@@ -2,7 +2,9 @@
 
 Token weights of the cells source x language x topic are raked until each
 dimension's shares meet its target; documents are then sampled by the
-calibrated probability of their cell. DataFrame expressions only.
+calibrated probability of their cell, raked once more with the bound of 1, so
+that the sample meets the targets too. A category that has too few tokens for
+its share of the sample is taken whole and reported. DataFrame expressions only.
 
 Defined cases: a null in a dimension is a cell of its own; a null or empty
 text has no tokens, and its cell's probability holds for it too; a category
@@ -14,7 +16,10 @@ and a column with the name of an added one is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -26,6 +31,8 @@ TEMPER = 0.8
 KEEP = 0.6
 TOLERANCE = 1e-6
 MAX_ROUNDS = 50
+#: A margin of the expected sample that is further from its target than this share of the sample is reported.
+SLACK = 1e-4
 #: Cells that are sent to all executors for the last join; more are joined by a shuffle.
 BROADCAST_CELLS = 20_000
 SEED = 17
@@ -46,54 +53,126 @@ def topic(text: Column) -> Column:
     )
 
 
+def goals(cells: DataFrame, dim: str, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
+    """(key, goal): the share of all tokens that each category of a dimension is to have; shares sum to 1."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    own = cells.groupBy(dim).agg((F.sum("tokens") / F.lit(float(max(total, 1)))).alias("share"))
+    wanted = (targets or {}).get(dim)
+    if wanted:
+        pairs = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(float(v)))])
+        own = own.withColumn("goal", F.coalesce(F.try_element_at(pairs, F.col(dim)), F.col("share")))
+    else:
+        own = own.withColumn("goal", F.when(F.col("share") > 0, F.pow("share", F.lit(temper))).otherwise(0.0))
+    whole = own.agg(F.sum(F.when(F.col("share") > 0, F.col("goal")))).first()[0] or 1.0
+    return own.select(F.col(dim).alias("key"), (F.col("goal") / whole).alias("goal"))
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
     """cells (the dimensions and tokens) with raked: token weights that meet the targets, their total unchanged.
 
     Cells are one row for each combination that occurs, not for each document.
     Each round divides by the running margins of one dimension after another;
-    rounds end when no margin is off by more than TOLERANCE.
+    rounds end when no margin is off by more than TOLERANCE, with a warning if
+    MAX_ROUNDS come first.
     """
     dims = [c for c in cells.columns if c != "tokens"]
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     state = cells.withColumn("raked", F.col("tokens").cast("double"))
-    goals: dict[str, DataFrame] = {}
-    for d in dims:
-        own = cells.groupBy(d).agg((F.sum("tokens") / F.lit(float(max(total, 1)))).alias("share"))
-        wanted = (targets or {}).get(d)
-        if wanted:
-            pairs = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(float(v)))])
-            own = own.withColumn("goal", F.coalesce(F.try_element_at(pairs, F.col(d)), F.col("share")))
-        else:
-            own = own.withColumn("goal", F.when(F.col("share") > 0, F.pow("share", F.lit(temper))).otherwise(0.0))
-        whole = own.agg(F.sum(F.when(F.col("share") > 0, F.col("goal")))).first()[0] or 1.0
-        goals[d] = own.select(F.col(d).alias("key"), (F.col("goal") / whole * float(total)).alias("goal"))
+    wanted = {d: goals(cells, d, targets, temper).withColumn("goal", F.col("goal") * float(total)) for d in dims}
     state = cut(state)
+    off = 0.0
     for _ in range(MAX_ROUNDS):
         for d in dims:
-            margin = state.groupBy(F.col(d).alias("key")).agg(F.sum("raked").alias("margin")).join(goals[d], "key")
+            margin = state.groupBy(F.col(d).alias("key")).agg(F.sum("raked").alias("margin")).join(wanted[d], "key")
             factor = margin.select("key", F.when(F.col("margin") > 0, F.col("goal") / F.col("margin")).otherwise(0.0).alias("factor"))
             state = state.join(factor, state[d] == factor["key"]).withColumn("raked", F.col("raked") * F.col("factor")).drop("key", "factor")
         state = cut(state)
         off = 0.0
         for d in dims[:-1]:  # the last has just been met
-            margin = state.groupBy(F.col(d).alias("key")).agg(F.sum("raked").alias("margin")).join(goals[d], "key")
+            margin = state.groupBy(F.col(d).alias("key")).agg(F.sum("raked").alias("margin")).join(wanted[d], "key")
             off = max(off, margin.agg(F.max(F.abs(F.col("margin") - F.col("goal")))).first()[0] or 0.0)
         if off <= TOLERANCE * max(total, 1):
             break
+    else:
+        warnings.warn(f"raking ended after {MAX_ROUNDS} rounds with a margin off by {off / max(total, 1):.2g} of all tokens", stacklevel=2)
     return state
 
 
-def calibrate(cells: DataFrame, keep: float) -> DataFrame:
-    """cells with probability = min(1, c * raked / tokens), c such that the expected share of tokens kept is `keep`."""
-    ratio = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    low, high = 0.0, 1e12
-    for _ in range(4):  # each pass narrows c by a grid, in one aggregate over the cells
-        grid = [low + (high - low) * k / 64 for k in range(65)] if low else [high * 2.0 ** (k - 64) for k in range(65)]
-        sums = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.least(F.lit(1.0), ratio * c)), F.lit(0.0)) for c in grid]).first()
-        k = next((k for k, s in enumerate(sums) if s >= keep * total), 64)
-        low, high = grid[max(0, k - 1)], grid[k]
-    return cells.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), ratio * high)).otherwise(F.lit(1.0)))
+def reachable(wanted: DataFrame, cells: DataFrame, dim: str, keep: float, total: float) -> DataFrame:
+    """(key, goal in tokens): keep * total dealt by the shares of wanted, but no category gets more than it has.
+
+    What a category lacks goes to the others in proportion to their goals: goal = min(own tokens, c * share).
+    """
+    own = cells.groupBy(F.col(dim).alias("key")).agg(F.sum("tokens").cast("double").alias("own")).join(wanted, "key")
+    order = Window.orderBy(F.when(F.col("goal") > 0, F.col("own") / F.col("goal")).otherwise(float("inf")), "key")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = own.withColumn("c", (F.lit(keep * total) - F.coalesce(F.sum("own").over(before), F.lit(0.0))) / F.nullif(F.sum("goal").over(after), F.lit(0.0)))
+    c = level.agg(F.max("c")).first()[0] or 0.0
+    return own.select("key", F.least("own", F.col("goal") * c).alias("goal"))
+
+
+def calibrate(cells: DataFrame, keep: float, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
+    """cells with probability, 1 at most, such that the expected sample holds `keep` of the tokens and meets the targets.
+
+    The bound is part of the raking: a cell is expected to give min(tokens,
+    its factors * raked), and each round finds, for one dimension after
+    another, the factor of every category with which its cells give its goal.
+    A category that has less than its goal is taken whole and the rest of its
+    dimension shares what it lacks; such margins, and those that are still
+    off after MAX_ROUNDS, are named in a warning (margins() gives all).
+    """
+    dims = [c for c in cells.columns if c not in ("tokens", "raked")]
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    asked = {d: cut(goals(cells, d, targets, temper)) for d in dims}
+    state = cells.withColumn("own", F.col("tokens").cast("double")).withColumn("free", F.col("raked") * keep)
+    for k, d in enumerate(dims):
+        goal = reachable(asked[d], cells, d, keep, total).select(F.col("key").alias(f"key_{k}"), F.col("goal").alias(f"goal_{k}"))
+        state = state.join(goal, F.col(d) == F.col(f"key_{k}")).drop(f"key_{k}")
+    state = cut(state)
+    given = F.least("own", "free")
+    for _ in range(MAX_ROUNDS):
+        pairs = [F.struct(F.lit(k).alias("dim"), F.col(d).alias("key"), F.col(f"goal_{k}").alias("goal")) for k, d in enumerate(dims)]
+        margin = state.select(F.explode(F.array(*pairs)).alias("m"), given.alias("given")).groupBy("m").agg(F.sum("given").alias("given"))
+        off = margin.agg(F.max(F.abs(F.col("given") - F.col("m.goal")))).first()[0] or 0.0
+        if off <= TOLERANCE * max(total, 1):
+            break
+        for k, d in enumerate(dims):
+            # sum(min(own, f * free)) is the least of the lines that hold the first cells at their bound, so f is the greatest of their roots
+            whole = Window.partitionBy(d)
+            order = whole.orderBy("ratio", *[x for x in dims if x != d])
+            before = F.coalesce(F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            after = F.sum("free").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+            state = state.withColumn("ratio", F.when(F.col("free") > 0, F.col("own") / F.col("free")).otherwise(float("inf")))
+            state = state.withColumn("root", (F.col(f"goal_{k}") - before) / F.nullif(after, F.lit(0.0)))
+            top = F.max(F.when(F.col("free") > 0, F.col("ratio"))).over(whole)
+            full = F.col(f"goal_{k}") >= F.sum("own").over(whole) * (1 - 1e-9)
+            factor = F.when(full, F.greatest(top, F.lit(1.0))).otherwise(F.greatest(F.max("root").over(whole), F.lit(0.0)))
+            state = state.withColumn("factor", F.coalesce(factor, F.lit(1.0)))
+            # a cell far beyond its bound stays there
+            state = state.withColumn("free", F.least(F.col("free") * F.col("factor"), F.col("own") * 1e12)).drop("ratio", "root", "factor")
+        state = cut(state)
+    state = state.withColumn("probability", F.when(F.col("own") > 0, given / F.col("own")).otherwise(F.lit(1.0)))
+    missed = [x for d in dims for x in _shares(state.withColumn("expected", given), asked[d], d, ["expected"]).filter(F.abs(F.col("expected") - F.col("target")) > SLACK).orderBy(F.desc(F.abs(F.col("expected") - F.col("target")))).limit(10).collect()]
+    if missed:
+        named = ", ".join(f"{x.dimension.removeprefix('cell_')} {x.category!r} {x.expected:.4f} for {x.target:.4f}" for x in missed)
+        warnings.warn(f"margins that cannot be met with {keep} of the tokens kept: {named}", stacklevel=2)
+    return state.select(*cells.columns, "probability")
+
+
+def _shares(cells: DataFrame, asked: DataFrame, dim: str, amounts: list[str]) -> DataFrame:
+    """(dimension, category, target, and the share of each amount) for a dimension of cells."""
+    whole = cells.agg(*[F.sum(a) for a in amounts]).first()
+    each = cells.groupBy(F.col(dim).alias("key")).agg(*[(F.sum(a) / F.lit(float(w or 1))).alias(a) for a, w in zip(amounts, whole, strict=True)])
+    return each.join(asked, "key").select(F.lit(dim).alias("dimension"), F.col("key").alias("category"), F.col("goal").alias("target"), *amounts)
+
+
+def margins(mixed: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """What a result of mix() holds: dimension, category (a null is "\\0"), target, expected and drawn share of the sample's tokens."""
+    keyed = [F.coalesce(F.col(d).cast("string"), F.lit("\0")).alias(d) for d in dimensions]
+    amounts = [F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected"), F.sum(F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)).alias("drawn")]
+    cells = cut(mixed.select(*keyed, "n_tokens", "probability", "sampled").groupBy(*dimensions).agg(*amounts))
+    return reduce(DataFrame.unionByName, [_shares(cells, goals(cells, d, targets), d, ["expected", "drawn"]) for d in dimensions])
 
 
 def mix(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = SEED) -> DataFrame:
@@ -104,7 +183,7 @@ def mix(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict
     keyed = [key(d).alias(f"cell_{d}") for d in dimensions]
     cells = cut(base.select(*keyed, "n_tokens").groupBy(*[f"cell_{d}" for d in dimensions]).agg(F.sum("n_tokens").alias("tokens")))
     wanted = {f"cell_{d}": t for d, t in (targets or {}).items()}
-    final = cut(calibrate(rake(cells, wanted), keep)).withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0))
+    final = cut(calibrate(rake(cells, wanted), keep, wanted)).withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0))
     final = final.select(*[f"cell_{d}" for d in dimensions], "weight", "probability")
     if final.count() <= BROADCAST_CELLS:
         final = F.broadcast(final)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import mixing, queries, secret_scan, sharding
@@ -105,6 +106,37 @@ def test_sample_follows_the_probabilities(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def skewed(spark, small):
+    """A large category and one of `small` documents, in uneven cells."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 40), "big" if i >= small else "small", rng.choice("xxxxy") if i >= small else rng.choice("xy"), rng.choice("pq")) for i in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+
+
+def test_sample_meets_the_targets_with_cells_at_their_bound(spark):
+    docs = skewed(spark, 200)
+    targets = {"source": {"big": 0.9, "small": 0.1}, "lang": {"x": 0.7, "y": 0.3}, "topic": {"p": 0.5, "q": 0.5}}
+    mixed = mixing.mix(docs, targets=targets, keep=0.6).cache()
+    assert not mixed.filter("probability > 0.999999").isEmpty()
+    got = {(r.dimension, r.category): (r.target, r.expected, r.drawn) for r in mixing.margins(mixed, targets=targets).collect()}
+    assert all(abs(got[d, k][0] - v) < 1e-9 and abs(got[d, k][1] - v) < 1e-4 and abs(got[d, k][2] - v) < 0.05 for d, t in targets.items() for k, v in t.items())
+    expected = mixed.agg(F.sum(F.col("probability") * F.col("n_tokens")) / F.sum("n_tokens")).first()[0]
+    assert abs(expected - 0.6) < 1e-4
+
+
+def test_margins_that_cannot_be_met_are_reported(spark):
+    docs = skewed(spark, 60)
+    targets = {"source": {"big": 0.8, "small": 0.2}}
+    with pytest.warns(UserWarning, match="source 'small'"):
+        mixed = mixing.mix(docs, targets=targets, keep=0.6).cache()
+    small = mixed.filter("source = 'small'").agg(F.min("probability"), F.max("probability")).first()
+    assert abs(small[0] - 1) < 1e-6 and abs(small[1] - 1) < 1e-6  # all there is
+    expected = mixed.agg(F.sum(F.col("probability") * F.col("n_tokens")) / F.sum("n_tokens")).first()[0]
+    assert abs(expected - 0.6) < 1e-4
+    lang = [r for r in mixing.margins(mixed, targets=targets).collect() if r.dimension != "source"]
+    assert all(abs(r.expected - r.target) < 1e-4 for r in lang)
+
+
 def test_tokens(spark):
     for text in (None, "", " a\tb\n\nc ", "x\x0by\x0cz\rq"):
         assert spark.range(1).select(mixing.tokens(F.lit(text).cast("string"))).first()[0] == len((text or "").split())
