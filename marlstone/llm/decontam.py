@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 WINDOW = 10
 #: An automaton holds this much benchmark text at most, some 100 MB; a larger benchmark is scanned in several blocks.
 BLOCK_BYTES = 1 << 18
+#: A worker holds this many automata at once; with more blocks, each HELD_BYTES of rows meet them in turn.
+AUTOMATA = 2
+HELD_BYTES = 1 << 25
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -71,36 +74,58 @@ class Automaton:
             yield end - size, end, who
 
 
-_BUILT: dict[str, Automaton] = {}
+_BUILT: dict[str, list[Automaton]] = {}
 
 
-def _scan(batches: Iterator[pa.RecordBatch], key: str, items, window: int) -> Iterator[pa.RecordBatch]:
-    if key not in _BUILT:  # one automaton for a worker's many tasks
+def _machines(key: str, blocks, window: int) -> list[Automaton]:
+    """The automata of some blocks; one worker keeps the last ones for its many tasks."""
+    if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Automaton(items.value, window)
-    machine = _BUILT[key]
+        _BUILT[key] = [Automaton(b.value, window) for b in blocks]
+    return _BUILT[key]
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about `most` bytes."""
+    held, size = [], 0
     for batch in batches:
-        counts, hit, found, spans = [], [], [], []
-        for text in batch.column("text"):
-            text = text.as_py() or ""
-            own = words(text)
-            counts.append(len(own))
-            who: set[str] = set()
-            flags = None
-            for start, end, names in machine.find(own):
-                if flags is None:
-                    flags = bytearray(len(own))
-                flags[start:end] = b"\1" * (end - start)
-                who.update(names)
-            at = np.flatnonzero(np.frombuffer(flags, np.uint8)).tolist() if flags else []
-            hit.append(at)
-            found.append(sorted(who))
-            spans.append(_original(text, at) if at else [])
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scan(batches: Iterator[pa.RecordBatch], key: str, blocks, window: int) -> Iterator[pa.RecordBatch]:
+    """Every row's hits in all blocks, united within the row."""
+    # automata that don't fit together are built in turn for each list of batches
+    for held in _held(batches, HELD_BYTES if len(blocks) > AUTOMATA else 0):
+        counts = [[0] * b.num_rows for b in held]
+        flags: list[dict[int, bytearray]] = [{} for _ in held]
+        who: list[dict[int, set[str]]] = [{} for _ in held]
+        for lo in range(0, max(1, len(blocks)), AUTOMATA):
+            machines = _machines(f"{key}-{lo}", blocks[lo : lo + AUTOMATA], window)
+            for n, batch in enumerate(held):
+                for k, text in enumerate(batch.column("text")):
+                    own = words(text.as_py())
+                    counts[n][k] = len(own)
+                    for machine in machines:
+                        for start, end, names in machine.find(own):
+                            if k not in flags[n]:
+                                flags[n][k], who[n][k] = bytearray(len(own)), set()
+                            flags[n][k][start:end] = b"\1" * (end - start)
+                            who[n][k].update(names)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(spans, kind)],
-            names=["doc_id", "n_words", "hit_words", "items", "spans"],
-        )
+        for n, batch in enumerate(held):
+            hit = [np.flatnonzero(np.frombuffer(flags[n][k], np.uint8)).tolist() if k in flags[n] else [] for k in range(batch.num_rows)]
+            found = [sorted(who[n].get(k, ())) for k in range(batch.num_rows)]
+            spans = [_original(batch.column("text")[k].as_py(), at) if at else [] for k, at in enumerate(hit)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts[n], pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(spans, kind)],
+                names=["doc_id", "n_words", "hit_words", "items", "spans"],
+            )
 
 
 def _original(text: str, at: list[int]) -> list[dict[str, int]]:
@@ -118,10 +143,7 @@ def _original(text: str, at: list[int]) -> list[dict[str, int]]:
 
 
 def _drop(batches: Iterator[pa.RecordBatch], key: str, items, window: int) -> Iterator[pa.RecordBatch]:
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(items.value, window)
-    machine = _BUILT[key]
+    (machine,) = _machines(key, [items], window)
     for batch in batches:
         yield batch.filter(pa.array([next(machine.find(words(t.as_py())), None) is None for t in batch.column("text")], pa.bool_()))
 
@@ -148,18 +170,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per row of docs: doc_id, n_words, hit_words (word numbers), items, spans.
 
-    The benchmark goes to the executors in blocks of block_bytes of text. One
-    block needs no shuffle; more are scanned in turn and merged by doc_id (ids
-    are then taken to be unique).
+    The benchmark goes to the executors in blocks of block_bytes of text. All
+    blocks are scanned in one pass without a shuffle, and a row's hits are
+    united in the row, so ids may repeat or be null.
     """
     schema = SCHEMA.format(docs.schema["doc_id"].dataType.simpleString())
-    plain = docs.select("doc_id", "text")
-    parts = []
-    for block in blocks_of(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        parts.append(plain.mapInArrow(partial(_scan, key=uuid.uuid4().hex, items=shared, window=window), schema))
-    if len(parts) == 1:
-        return parts[0]
-    out = reduce(DataFrame.unionByName, parts)
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), flat("hit_words").alias("hit_words"), flat("items").alias("items"), flat("spans").alias("spans"))
+    blocks = [docs.sparkSession.sparkContext.broadcast(block) for block in blocks_of(benchmark, block_bytes)]
+    return docs.select("doc_id", "text").mapInArrow(partial(_scan, key=uuid.uuid4().hex, blocks=blocks, window=window), schema)

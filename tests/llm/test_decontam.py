@@ -52,3 +52,18 @@ def test_empty_tables(spark):
     assert D.contamination(docs, bench).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert D.contamination(one, bench).first().hit_words == []
+
+
+def test_several_blocks_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["a", "b", "zz", "x1"])
+    items = [(str(i), " ".join(word() for _ in range(rng.choice([3, 10, 14])))) for i in range(12)]
+    texts = [f"{word()} {items[k % 12][1]} {items[(k + 5) % 12][1]}" for k in range(24)] + ["a b", "a b", None]
+    ids = [None, None, 1, 1, 1, 2] * 4 + [3, 3, 3]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    bench = spark.createDataFrame([(int(i), t) for i, t in items], "item_id long, text string")
+    show = lambda r: repr((r.doc_id, r.n_words, list(r.hit_words), list(r["items"]), [tuple(s) for s in r.spans]))
+    one, several = (sorted(map(show, D.contamination(docs, bench, block_bytes=b).collect())) for b in (1 << 18, 60))
+    assert several == one and len(one) == len(texts)
+    hits = sorted(repr((r.doc_id, (r.n_words, list(r.hit_words), list(r["items"])))) for r in D.contamination(docs, bench, block_bytes=60).collect())
+    assert hits == sorted(repr(x) for x in zip(ids, brute(texts, items), strict=True))
