@@ -8,7 +8,8 @@ upward and one downward sweep of sum-product messages, level by level over all
 pages of a batch at once, give every node's exact marginal; text blocks whose
 marginal favours content are the main text, in page order.
 
-Scripts, styles, form controls and the like hold no text to begin with.
+Scripts, styles, form controls and the like hold no text to begin with. A head
+needs no skip: what may stand in it is silent by itself, and anything else ends it.
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by one space.
 
@@ -31,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements whose content is never text of the page.
-SILENT = frozenset("script style head title noscript template iframe object svg canvas select option button textarea audio video math datalist".split())
+SILENT = frozenset("script style title noscript template iframe object svg canvas select option button textarea audio video datalist".split())
 #: Of those, the ones in which markup isn't read.
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: Of those, the ones that can't hold another of their kind; a second start tag goes on with the skip.
+FLAT = frozenset("select option button".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end blocks.
@@ -45,6 +48,8 @@ CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
     "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"},
 }
+#: Start tags that end a parent even with a silent element left open in it.
+ITEMS = frozenset(CLOSES) - {"p"}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"']|["'])*?)>""", re.S)
 _MARKS = re.compile(r"""(?:class|id|role|itemprop|aria-label|y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r"\by=([01])")
@@ -66,7 +71,7 @@ class Page:
         linked = 0
         in_link = 0
         silent: str | None = None
-        depth = 0
+        inner: dict[str, int] = {}  # open elements within the silent one
 
         def flush() -> None:
             nonlocal linked
@@ -94,11 +99,22 @@ class Page:
                 continue
             name = name.lower()
             if silent is not None:
-                if name == silent:
-                    depth += -1 if m[1] else (not m[3].endswith("/"))
-                    if depth == 0:
+                if name in RAW and not m[1] and not m[3].endswith("/"):
+                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                    at = end.end() if end else n
+                elif m[1]:
+                    if inner.get(name):
+                        inner[name] -= 1
+                    elif name == silent:
                         silent = None
-                continue
+                    elif any(name == x for x, _ in stack[1:]):
+                        silent = None  # the end of a parent is the end of an element left open
+                elif name in ITEMS and stack[-1][0] in CLOSES[name] and not any(inner.get(x) for x in BLOCK):
+                    silent = None  # and so is the start tag that ends the parent
+                elif name not in VOID and not m[3].endswith("/") and not (name == silent and name in FLAT):
+                    inner[name] = inner.get(name, 0) + 1
+                if silent is not None or name in SILENT:
+                    continue
             if m[1]:
                 if name == "a":
                     in_link = 0
@@ -116,7 +132,7 @@ class Page:
                     flush()
             elif name in SILENT:
                 if not m[3].endswith("/"):
-                    silent, depth = name, 1
+                    silent, inner = name, {}
             elif name == "a":
                 in_link = 1
             elif name == "br":

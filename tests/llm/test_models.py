@@ -57,6 +57,29 @@ PAGES = {
 }
 
 
+ARTICLE = "<article><h1>Title</h1><p>The story is told here in a sentence.</p>{}<p>It ends here.</p></article>"
+LEFT_OPEN = {
+    "head": ("<html><head><title>t</title><meta charset=utf-8><script>if (a<b) document.write('<p>no</p></head>')</script><body>" + ARTICLE.format(""), ""),
+    "head_without_body": ("<html><head><title>t</title><style>p{}</style>" + ARTICLE.format(""), ""),
+    "head_template": ("<html><head><template><p>no</p></template>" + ARTICLE.format(""), ""),
+    "option": (ARTICLE.format("<div><option>no</div>"), ""),
+    "button": (ARTICLE.format("<div><button>no <div>no</div></div>"), ""),
+    "two_buttons": (ARTICLE.format("<button>no<button>no</button>"), ""),
+    "svg": (ARTICLE.format("<div><svg><title>no</title><g><text>no</text></div>"), ""),
+    "object": (ARTICLE.format("<div><object data=x><p>no</p></div>"), ""),
+    "item": (ARTICLE.format("<ul><li><button>no<li>And one thing.</ul>"), "And one thing. "),
+    "script_in_object": (ARTICLE.format("<object><script>'</object>'</script>no</object>"), ""),
+    "math": (ARTICLE.format("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>"), "So x=2 holds. "),
+}
+
+
+@pytest.mark.parametrize("name", LEFT_OPEN)
+def test_elements_left_open_end_with_their_parent(name):
+    html, more = LEFT_OPEN[name]
+    page = html_text.Page(html)
+    assert " ".join(x for x in page.texts if x is not None) == f"Title The story is told here in a sentence. {more}It ends here."
+
+
 @pytest.fixture(scope="module")
 def model():
     return html_text.Model(html_text.labelled_pages())
