@@ -34,30 +34,66 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import cut
+from .shared import cut, meet, with_hot
 
 SHINGLE = 5
 BANDS, ROWS = 36, 8
 #: A set's bitmap for the exact bound on differences, in words of 64 bits.
 MARKS = 16
+#: A pivot with more pairs than this is salted.
+HOT = 2000
+#: Elements of one pass over the steps, and the steps after which an element's permutation is written out.
+STEP_ELEMENTS, EARLY = 1 << 15, 24
 #: Links need percent * union <= 100 * intersection.
 PERCENT = 85
 U = K.U
 
 
+def _shingles(word: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of rows of words, and each shingle's row."""
+    count = np.diff(at)
+    each = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
+    row = np.repeat(np.arange(len(count)), each)
+    first = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + at[row]
+    return K.hash_spans(K.prefix(word), first, np.minimum(first + size, at[row + 1])), row
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, at = K.words(data, offsets)
+    return (K.hash_spans(K.prefix(K.byte_values()[K.LOWER[data]]), starts, ends) if len(starts) else np.zeros(0, U)), at
+
+
+def _long_set(data: np.ndarray, size: int) -> np.ndarray:
+    """The shingles of one long text, part by part; a part ends at white space and goes on with the last words of the one before."""
+    found, held, words, lo = [], np.zeros(0, U), 0, 0
+    while lo < len(data):
+        hi = min(len(data), lo + K.CHUNK_BYTES)
+        while hi < len(data) and not (gaps := np.flatnonzero(K.SPACE[data[lo:hi]])).size:
+            hi = min(len(data), hi + K.CHUNK_BYTES)  # a word longer than a part
+        hi = hi if hi == len(data) else lo + int(gaps[-1]) + 1
+        word, _ = _words(data[lo:hi], np.array([0, hi - lo]))
+        words += len(word)
+        word = np.concatenate([held, word])
+        if len(word) >= size:
+            found.append(np.unique(_shingles(word, np.array([0, len(word)]), size)[0]))
+        held, lo = word[max(0, len(word) - size + 1) :], hi
+    if 0 < words < size:
+        found.append(_shingles(held, np.array([0, words]), size)[0])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, U)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, sorted within it, and where each text's begin."""
     n_rows = len(offsets) - 1
-    starts, ends, at = K.words(data, offsets)
-    if not len(starts):
+    if n_rows == 1 and len(data) > 2 * K.CHUNK_BYTES:
+        h = _long_set(data, size)
+        return h, np.array([0, len(h)])
+    word, at = _words(data, offsets)
+    if not len(word):
         return np.zeros(0, U), np.zeros(n_rows + 1, np.int64)
-    word = K.hash_spans(K.prefix(K.byte_values()[K.LOWER[data]]), starts, ends)
-    count = np.diff(at)
-    each = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
-    row = np.repeat(np.arange(n_rows), each)
-    first = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + at[row]
-    h = K.hash_spans(K.prefix(word), first, np.minimum(first + size, at[row + 1]))
-    order = np.lexsort((h, row))
+    h, row = _shingles(word, at, size)
+    order = np.argsort(h)
+    order = order[np.argsort(row[order].astype(np.uint16) if n_rows < 65536 else row[order], kind="stable")]
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -65,28 +101,67 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return h, np.searchsorted(row, np.arange(n_rows + 1))
 
 
+def _draw(h: np.ndarray, j: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Step j of every element: which place is swapped with place j, and the value offered to what stands there."""
+    x = K.mix(h + U((2 * j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return (((x >> U(44)) * U(m - j)) >> U(20)).astype(np.int16) + np.int16(j), (x & U((1 << 44) - 1)).astype(np.float64) * 2.0**-44 + j
+
+
+def _offer(h: np.ndarray, row: np.ndarray, sig: np.ndarray) -> None:
+    """Let elements (of rows in ascending order) lower the signatures sig in place."""
+    m = sig.shape[1]
+    flat = sig.reshape(-1)
+    base = row * m
+    swaps: list[np.ndarray] = []  # for each step, the place that was swapped with place j
+    held: list[np.ndarray] = []  # and what it holds since
+    checks = {0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 19} | set(range(EARLY - 1, m, 16))
+    e = table = None
+    for j in range(m):
+        k, value = _draw(h, j, m)
+        if j < EARLY:
+            place, own = k.copy(), np.full(len(h), j, np.int16)
+            for then, what in zip(swaps, held, strict=True):
+                for want, into in ((k, place), (j, own)):
+                    hit = np.flatnonzero(then == want)
+                    into[hit] = what[hit]
+            swaps.append(k)
+            held.append(own)
+        else:
+            if table is None:  # the few texts that go on for long: a row of the permutation for each element
+                table = np.tile(np.arange(m, dtype=np.int16), (len(h), 1))
+                e = np.arange(len(h))
+                for then, what in zip(swaps, held, strict=True):
+                    table[e, then] = what
+                e, table = e * m, table.reshape(-1)
+            at = e + k
+            place = table[at]
+            table[at] = table[e + j]
+        np.minimum.at(flat, base + place, value)
+        if j in checks:
+            lo, hi = int(row[0]), int(row[-1]) + 1
+            going = (sig[lo:hi].max(axis=1) > j + 1)[row - lo]
+            if not going.any():
+                return
+            if not going.all():
+                h, row, base = h[going], row[going], base[going]
+                if table is None:
+                    swaps, held = [s[going] for s in swaps], [s[going] for s in held]
+                else:
+                    e = e[going]
+
+
 def superminhash(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
-    """Signatures, a row of m doubles for every text; texts without elements get infinities."""
+    """Signatures, a row of m doubles for every text; texts without elements get infinities.
+
+    A signature is a minimum over elements, so they are offered STEP_ELEMENTS
+    at a time, whatever the length of texts.
+    """
     n_rows = len(at) - 1
-    sig = np.full(n_rows * m, np.inf)
+    sig = np.full((n_rows, m), np.inf)
     row = np.repeat(np.arange(n_rows), np.diff(at))
-    swaps: list[np.ndarray] = []  # for each step, the place that was swapped with place j
-    for j in range(m):
-        draw = K.mix(h + U((2 * j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        k = j + (draw % U(m - j)).astype(np.int32)
-        place = k.copy()
-        for i in range(j - 1, -1, -1):  # what the earlier swaps have put at place k
-            place = np.where(place == i, swaps[i], np.where(place == swaps[i], i, place))
-        value = j + (K.mix(draw + U(0xA0761D6478BD642F)) >> U(11)).astype(np.float64) * 2.0**-53
-        np.minimum.at(sig, row * m + place, value)
-        swaps.append(k)
-        worst = sig.reshape(n_rows, m).max(axis=1) if n_rows else np.zeros(0)
-        going = worst[row] > j + 1
-        if not going.any():
-            break
-        if not going.all():
-            h, row, swaps = h[going], row[going], [s[going] for s in swaps]
-    return sig.reshape(n_rows, m)
+    for lo in range(0, len(h), STEP_ELEMENTS):
+        _offer(h[lo : lo + STEP_ELEMENTS], row[lo : lo + STEP_ELEMENTS], sig)
+    return sig
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -114,28 +189,16 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     for batch in batches:
         for lo, hi, data, offsets in K.pieces(batch.column("text")):
             h, at = shingle_sets(data, offsets, size)
-            raw = h.tobytes()
             n_rows = hi - lo
             mark = np.zeros((n_rows, 64 * MARKS), bool)
             mark[np.repeat(np.arange(n_rows), np.diff(at)), (K.mix(h) % U(64 * MARKS)).astype(np.int64)] = True
             marks = np.packbits(mark, axis=1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n_rows * MARKS + 1, MARKS, dtype=np.int32)), pa.array(marks.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), lists], names=["rep", "elements", "marks"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= percent * (len(both) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+            elements = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], elements, lists], names=["rep", "elements", "marks"])
 
 
-def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): label is the least node that can be reached.
 
     Rounds of contraction: every node moves to the neighbour, or itself, whose
@@ -158,31 +221,33 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    kind = pairs.schema["a"].dataType.simpleString()
-    x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")), "a")
-    xy = x.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("y")), "b")
-    return xy.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), f"a {kind}, b {kind}")
+    """The pairs (a, b) whose full sets reach the similarity.
 
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            h = np.frombuffer(batch.column("elements")[k].as_buffer(), np.int64)
-            same = batch.slice(k, 1).select(["rep", "n", "label"]).take(pa.array(np.zeros(len(h), np.int64)))
-            yield pa.RecordBatch.from_arrays([*same.columns, pa.array(h)], names=["rep", "n", "label", "key"])
+    Every pair's second set travels to its first one. A first set with many
+    pairs (a pivot's) is sent once for each HOT of its pairs, not for each pair,
+    and they are dealt to as many tasks.
+    """
+    pairs = cut(pairs)
+    often = cut(pairs.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select(F.col("a").alias("hot"), F.ceil(F.col("c") / HOT).cast("int").alias("parts")))
+    salted = with_hot(pairs, often, pairs["a"] == often["hot"]).select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    y = salted.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("y")), "b")
+    first = with_hot(sets, often, sets["rep"] == often["hot"])
+    x = first.select(F.col("rep").alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("elements").alias("x"))
+    common = F.size(F.array_intersect("x", "y"))
+    return y.join(x, ["a", "part"]).filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): every pair of rows (rep, n, label) with different labels that may still reach the similarity.
 
     A prefix join, which is exact: with every set's elements in one common
     order, two sets that reach percent % share one of the first
     n - ceil(percent * n / 100) + 1 of each. Rare elements come first, so what
     an edited copy has for itself fills its prefix and meets nobody. Two more exact
-bounds are part of the join: how many common elements there can be around a
-common place, and how many differences the sets' bitmaps prove.
+    bounds are part of the join: how many common elements there can be around a
+    common place, and how many differences the sets' bitmaps prove.
     """
-    spread = sets.join(rows, "rep").select("rep", "n", "label", "elements").mapInArrow(_spread, f"rep {kind}, n bigint, label {kind}, key bigint")
+    spread = sets.join(rows, "rep").select("rep", "n", "label", F.explode("elements").alias("key"))
     common = spread.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("c", F.lit(1)), "key"))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -216,22 +281,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     same = ["n", "sum1", "sum2"]
     classes = cut(signed.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     banded = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    member = cut(banded.join(buckets, "key").select("key", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
+    buckets = cut(banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("c")).filter("c > 1"))
+    member = cut(meet(banded, buckets, "key").select("key", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
     close = lambda p, q: (100 * F.least(F.col(p), F.col(q)) >= percent * F.greatest(F.col(p), F.col(q)))
     wanted = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(plain.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=size), f"rep {kind}, elements binary, marks array<bigint>"))
+    sets = cut(plain.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=size), f"rep {kind}, elements array<bigint>, marks array<bigint>"))
     star = member.filter((F.col("rep") != F.col("pivot")) & close("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(confirm(star, sets, percent))
-    found = components(links, kind)
+    found = components(links)
     # pairs across components: in each bucket, the members outside its most frequent component against all of its members
     placed = cut(member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")))
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
     split = sizes.groupBy("key").agg(F.count("*").alias("labels")).filter("labels > 1").select("key")
     open_ = cut(placed.join(split, "key", "left_semi").select("rep", "n", "label").distinct())
-    more = cross_pairs(open_, sets, percent, kind)
+    more = cross_pairs(open_, sets, percent)
     links = links.unionByName(cut(confirm(more, sets, percent)))
-    found = components(links, kind)
+    found = components(links)
     rep = classes.select(*same, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("doc_id", *same).join(rep, same, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +27,29 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows that may be sent to all executors: a few numbers each, some 10 MB in all.
+SENT_ROWS = 100_000
+
+
+def with_hot(rows: DataFrame, hot: DataFrame, on: Column) -> DataFrame:
+    """A left join with a table of hot keys: broadcast if its counted size allows, else shuffled."""
+    n = hot.count()
+    return rows.join(F.broadcast(hot) if n <= SENT_ROWS else hot, on, "left")
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined with groups, one row for each key with c, the number of rows that it has.
+
+    Keys with more rows than an even share are joined without a shuffle: their
+    number is at most SENT_ROWS, as each takes 1 / SENT_ROWS of all rows. The
+    other keys are shuffled, and no task gets more of one key than that.
+    """
+    total = groups.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    most = max(256, -(-total // SENT_ROWS))
+    hot, cold = groups.filter(F.col("c") > most), groups.filter(F.col("c") <= most)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rest.join(cold, key).unionByName(rows.join(F.broadcast(hot), key))
