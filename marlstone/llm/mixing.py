@@ -31,6 +31,8 @@ TEMPER = 0.8
 KEEP = 0.6
 TOLERANCE = 1e-6
 MAX_ROUNDS = 50
+#: Up to so many cells are raked as arrays in one row, all rounds in one job; more are raked as rows, a few jobs for each round.
+ROW_CELLS, ROW_ROUNDS = 5_000, 400
 #: A margin of the expected sample that is further from its target than this share of the sample is reported.
 SLACK = 1e-4
 #: Cells that are sent to all executors for the last join; more are joined by a shuffle.
@@ -39,9 +41,8 @@ SEED = 17
 
 
 def tokens(text: Column) -> Column:
-    """White-space separated words, counted from the places where one begins."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5)
-    return F.size(F.filter(F.split(plain, " "), lambda w: w != "")).cast("bigint")
+    """White-space separated words."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
 def topic(text: Column) -> Column:
@@ -67,6 +68,139 @@ def goals(cells: DataFrame, dim: str, targets: dict[str, dict[str, float]] | Non
     return own.select(F.col(dim).alias("key"), (F.col("goal") / whole).alias("goal"))
 
 
+def _field(name: str):
+    return lambda c: c[name]
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+class _Row:
+    """The cells as arrays of one row, and raking as expressions over them.
+
+    A cell gives own * min(1, product of its categories' factors), or without
+    the bound own * product. A step sets one dimension's factors: the cells at
+    their bound are taken as they are, and the others raked to what is left.
+    """
+
+    def __init__(self, cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float):
+        self.dims = [c for c in cells.columns if c not in ("tokens", "raked")]
+        spans = range(len(self.dims))
+        row = cells.select(F.struct(*self.dims, F.col("tokens").cast("double").alias("own")).alias("c")).agg(F.array_sort(F.collect_list("c")).alias("cells"))
+        keys = {f"keys_{k}": F.array_sort(F.array_distinct(F.transform("cells", _field(d)))) for k, d in enumerate(self.dims)}
+        row = cut(row.withColumns(keys))
+        place = lambda c: [(F.array_position(F.col(f"keys_{k}"), c[d]) - 1).cast("int").alias(f"i{k}") for k, d in enumerate(self.dims)]
+        row = cut(row.withColumn("nums", F.transform("cells", lambda c: F.struct(c["own"].alias("own"), *place(c)))))
+        members = {f"members_{k}": F.transform(F.col(f"keys_{k}"), self._members(k)) for k in spans}
+        row = cut(row.withColumns(members).withColumn("total", F.aggregate("nums", F.lit(0.0), lambda acc, c: acc + c["own"])))
+        own = {f"own_{k}": F.transform(F.col(f"members_{k}"), lambda m: F.aggregate(m, F.lit(0.0), lambda acc, c: acc + c["own"])) for k in spans}
+        row = row.withColumns(own)
+        for k, d in enumerate(self.dims):
+            row = row.withColumn(f"want_{k}", self._wanted(k, (targets or {}).get(d), temper))
+        self.row = cut(row)
+
+    def _members(self, k: int):
+        def of(_: Column, j: Column) -> Column:
+            return F.filter("nums", lambda c: c[f"i{k}"] == j)
+
+        return of
+
+    def _wanted(self, k: int, target: dict[str, float] | None, temper: float) -> Column:
+        """Each category's share of the tokens; shares sum to 1."""
+        share = F.transform(F.col(f"own_{k}"), lambda x: x / F.greatest(F.col("total"), F.lit(1.0)))
+        if target:
+            pairs = F.create_map(*[x for key, v in target.items() for x in (F.lit(key), F.lit(float(v)))])
+            raw = F.zip_with(F.col(f"keys_{k}"), share, lambda key, s: F.when(s > 0, F.coalesce(F.try_element_at(pairs, key), s)).otherwise(F.lit(0.0)))
+        else:
+            raw = F.transform(share, lambda s: F.when(s > 0, F.pow(s, F.lit(temper))).otherwise(F.lit(0.0)))
+        return _let(raw, lambda r: _let(F.aggregate(r, F.lit(0.0), lambda acc, x: acc + x), lambda whole: F.transform(r, lambda x: F.when(whole > 0, x / whole).otherwise(F.lit(0.0)))))
+
+    def _goal(self, k: int, keep: float | None) -> Column:
+        """Tokens that each category is to give: its share of all, or of the part that is kept, but not more than it has."""
+        want = F.col(f"want_{k}")
+        if keep is None:
+            return F.transform(want, lambda w: w * F.col("total"))
+        pair = F.arrays_zip(F.col(f"own_{k}").alias("own"), want.alias("want"))
+
+        def level(c: Column, _: Column) -> Column:
+            full = lambda x: c * x["want"] >= x["own"]
+            both = F.aggregate(pair, F.struct(F.lit(0.0).alias("own"), F.lit(0.0).alias("want")), lambda acc, x: F.struct((acc["own"] + F.when(full(x), x["own"]).otherwise(0.0)).alias("own"), (acc["want"] + F.when(full(x), 0.0).otherwise(x["want"])).alias("want")))
+            return _let(both, lambda b: F.when(b["want"] > 0, (keep * F.col("total") - b["own"]) / b["want"]).otherwise(c))
+
+        c = F.aggregate(F.sequence(F.lit(0), F.size(want)), keep * F.col("total"), level)
+        return _let(c, lambda c: F.zip_with(F.col(f"own_{k}"), want, lambda o, w: F.least(o, c * w)))
+
+    def factors(self, keep: float | None) -> DataFrame:
+        """The row with f, a struct of factors by dimension, and off, the furthest margin; keep: with the bound, for so much of the tokens."""
+        spans = range(len(self.dims))
+        row = cut(self.row.withColumns({f"goal_{k}": self._goal(k, keep) for k in spans}))
+        tolerance = TOLERANCE * F.greatest(F.col("total"), F.lit(1.0))
+
+        def given(a: Column, k: int, m: Column, f: Column) -> Column:
+            """Of a category with factor f: tokens of cells at their bound, the others' for a factor of 1, and the factor that has all at their bound."""
+
+            def add(acc: Column, c: Column) -> Column:
+                rest = F.lit(1.0)
+                for d in spans:
+                    if d != k:
+                        rest = rest * F.get(a[f"f{d}"], c[f"i{d}"])
+                full = f * rest >= 1.0 if keep is not None else F.lit(False)
+                return F.struct((acc["full"] + F.when(full, c["own"]).otherwise(0.0)).alias("full"), (acc["free"] + F.when(full, 0.0).otherwise(c["own"] * rest)).alias("free"), F.greatest(acc["top"], F.when(rest > 0, 1.0 / rest).otherwise(0.0)).alias("top"))
+
+            return F.aggregate(m, F.struct(*[F.lit(0.0).alias(x) for x in ("full", "free", "top")]), add)
+
+        def move(k: int):
+            def update(a: Column) -> Column:
+                def new(m: Column, j: Column) -> Column:
+                    f, goal = F.get(a[f"f{k}"], j), F.get(F.col(f"goal_{k}"), j)
+                    all_of_it = F.lit(keep is not None) & (goal >= F.get(F.col(f"own_{k}"), j) * (1 - 1e-9))
+                    root = lambda g: F.when(all_of_it, F.least(2 * F.greatest(f, g["top"]), F.lit(1e12))).when(g["free"] <= 0, f).when(goal > g["full"], (goal - g["full"]) / g["free"]).otherwise(f * goal / (g["full"] + f * g["free"]))
+                    return _let(given(a, k, m, f), root)
+
+                return F.struct(*[(F.transform(F.col(f"members_{k}"), new) if d == k else a[f"f{d}"]).alias(f"f{d}") for d in spans], a["off"].alias("off"))
+
+            return update
+
+        def miss(a: Column, k: int):
+            def of(m: Column, j: Column) -> Column:
+                f = F.get(a[f"f{k}"], j)
+                return _let(given(a, k, m, f), lambda g: F.abs(g["full"] + f * g["free"] - F.get(F.col(f"goal_{k}"), j)))
+
+            return of
+
+        def measured(a: Column) -> Column:
+            off = F.lit(0.0)
+            for k in spans:
+
+                off = F.greatest(off, F.array_max(F.transform(F.col(f"members_{k}"), miss(a, k))))
+            return F.struct(*[a[f"f{d}"].alias(f"f{d}") for d in spans], off.alias("off"))
+
+        def step(acc: Column, _: Column) -> Column:
+            out = acc
+            for k in spans:
+                out = _let(out, move(k))
+            return F.when(acc["off"] <= tolerance, acc).otherwise(_let(out, measured))
+
+        ones = [F.transform(F.col(f"keys_{k}"), lambda _: F.lit(1.0 if keep is None or k else keep)).alias(f"f{k}") for k in spans]  # noqa: B023
+        start = F.struct(*ones, F.lit(float("inf")).alias("off"))
+        return cut(row.withColumn("f", F.aggregate(F.sequence(F.lit(1), F.lit(ROW_ROUNDS)), start, step)))
+
+    def cells(self, row: DataFrame, keep: float | None) -> DataFrame:
+        """A row per cell: its dimensions, own, and the share of its tokens that it gives."""
+        share = F.lit(1.0)
+        for k in range(len(self.dims)):
+            share = share * F.get(F.col(f"f.f{k}"), F.col(f"n.i{k}"))
+        pairs = row.select("f", F.explode(F.arrays_zip(F.col("cells"), F.col("nums"))).alias("x")).select("f", F.col("x.cells").alias("c"), F.col("x.nums").alias("n"))
+        return pairs.select(*[F.col(f"c.{d}").alias(d) for d in self.dims], F.col("c.own").alias("own"), (share if keep is None else F.least(share, F.lit(1.0))).alias("share"))
+
+
+def _warn(off: float, total: float, rounds: int) -> None:
+    if off > TOLERANCE * max(total, 1):
+        warnings.warn(f"raking ended after {rounds} rounds with a margin off by {off / max(total, 1):.2g} of all tokens", stacklevel=3)
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
     """cells (the dimensions and tokens) with raked: token weights that meet the targets, their total unchanged.
 
@@ -75,6 +209,13 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     rounds end when no margin is off by more than TOLERANCE, with a warning if
     MAX_ROUNDS come first.
     """
+    cells = cut(cells)
+    if 0 < cells.count() <= ROW_CELLS:
+        small = _Row(cells, targets, temper)
+        row = small.factors(None)
+        _warn(*row.select("f.off", "total").first(), ROW_ROUNDS)
+        found = small.cells(row, None)
+        return cut(found.select(*small.dims, F.col("own").cast("bigint").alias("tokens"), (F.col("own") * F.col("share")).alias("raked")))
     dims = [c for c in cells.columns if c != "tokens"]
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     state = cells.withColumn("raked", F.col("tokens").cast("double"))
@@ -122,7 +263,10 @@ def calibrate(cells: DataFrame, keep: float, targets: dict[str, dict[str, float]
     dimension shares what it lacks; such margins, and those that are still
     off after MAX_ROUNDS, are named in a warning (margins() gives all).
     """
+    cells = cut(cells)
     dims = [c for c in cells.columns if c not in ("tokens", "raked")]
+    if 0 < cells.count() <= ROW_CELLS:
+        return _calibrate_row(cells, dims, keep, targets, temper)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     asked = {d: cut(goals(cells, d, targets, temper)) for d in dims}
     state = cells.withColumn("own", F.col("tokens").cast("double")).withColumn("free", F.col("raked") * keep)
@@ -154,12 +298,32 @@ def calibrate(cells: DataFrame, keep: float, targets: dict[str, dict[str, float]
         state = cut(state)
     state = state.withColumn("probability", F.when(F.col("own") > 0, given / F.col("own")).otherwise(F.lit(1.0)))
     missed = [x for d in dims for x in _shares(state.withColumn("expected", given), asked[d], d, ["expected"]).filter(F.abs(F.col("expected") - F.col("target")) > SLACK).orderBy(F.desc(F.abs(F.col("expected") - F.col("target")))).limit(10).collect()]
-    if missed:
-        named = ", ".join(f"{x.dimension.removeprefix('cell_')} {x.category!r} {x.expected:.4f} for {x.target:.4f}" for x in missed)
-        warnings.warn(f"margins that cannot be met with {keep} of the tokens kept: {named}", stacklevel=2)
+    _report([(x.dimension, x.category, x.expected, x.target) for x in missed], keep)
     return state.select(*cells.columns, "probability")
 
 
+def _report(missed: list[tuple[str, str, float, float]], keep: float) -> None:
+    if missed:
+        named = ", ".join(f"{d.removeprefix('cell_')} {c!r} {got:.4f} for {target:.4f}" for d, c, got, target in missed)
+        warnings.warn(f"margins that cannot be met with {keep} of the tokens kept: {named}", stacklevel=4)
+
+
+def _calibrate_row(cells: DataFrame, dims: list[str], keep: float, targets: dict[str, dict[str, float]] | None, temper: float) -> DataFrame:
+    small = _Row(cells.select(*dims, "tokens"), targets, temper)
+    row = small.factors(keep)
+    found = cut(small.cells(row, keep))
+    whole = float(found.agg(F.sum(F.col("own") * F.col("share"))).first()[0] or 1.0)
+    missed = []
+    for k, d in enumerate(dims):
+        wanted = row.select(F.explode(F.arrays_zip(F.col(f"keys_{k}").alias("key"), F.col(f"want_{k}").alias("want"))).alias("x")).select("x.key", "x.want")
+        got = found.groupBy(F.col(d).alias("key")).agg((F.sum(F.col("own") * F.col("share")) / whole).alias("got")).join(wanted, "key")
+        missed += [(d, x.key, x.got, x.want) for x in got.filter(F.abs(F.col("got") - F.col("want")) > SLACK).orderBy(F.desc(F.abs(F.col("got") - F.col("want")))).limit(10).collect()]
+    _report(missed, keep)
+    given = found.select(*[F.col(d).alias(f"own_{d}") for d in dims], F.when(F.col("own") > 0, F.col("share")).otherwise(F.lit(1.0)).alias("probability"))
+    on = [F.col(d).eqNullSafe(F.col(f"own_{d}")) for d in dims]
+    return cells.join(given, reduce(Column.__and__, on)).select(*cells.columns, "probability")
+
+
 def _shares(cells: DataFrame, asked: DataFrame, dim: str, amounts: list[str]) -> DataFrame:
     """(dimension, category, target, and the share of each amount) for a dimension of cells."""
     whole = cells.agg(*[F.sum(a) for a in amounts]).first()

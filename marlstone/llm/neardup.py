@@ -201,21 +201,28 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): label is the least node that can be reached.
 
-    Rounds of contraction: every node moves to the neighbour, or itself, whose
-    hash is least. A round joins whole stars and shortens chains by a constant
-    factor, whatever the order of ids, so rounds grow with the logarithm of the
-    longest path. Nothing but the number of edges left comes to the driver.
+    Rounds of contraction: every node moves to the neighbour, or itself, that
+    comes first. In the first round that is the least id, which closes the stars
+    around pivots; from then on it is the least hash, so that chains shrink by a
+    constant factor whatever the order of ids, and rounds grow with the
+    logarithm of the longest path. A round's moves are kept, and put together at
+    the end. Nothing but the number of edges left comes to the driver.
     """
     edges = cut(edges.select("a", "b").filter("a <> b").distinct())
-    label = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
-    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+    moves = []
     while not edges.isEmpty():
+        rank = (lambda c: F.col(c)) if not moves else lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("h"), F.col(c).alias("to"))
         both = edges.select("a", rank("b").alias("r")).union(edges.select(F.col("b").alias("a"), rank("a").alias("r")))
-        least = both.groupBy("a").agg(F.min("r").alias("r"))
-        step = cut(least.select("a", F.least(F.col("r"), rank("a"))["to"].alias("to")))
-        label = cut(label.join(step, label["label"] == step["a"], "left").select("node", F.coalesce("to", "label").alias("label")))
-        x = edges.join(step.select("a", F.col("to").alias("x")), "a")
-        edges = cut(x.join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
+        least = F.least(F.min("r"), F.first(rank("a"))) if not moves else F.least(F.min("r"), rank("a"))["to"]
+        moves.append(cut(both.groupBy("a").agg(least.alias("to"))))
+        x = edges.join(moves[-1].withColumnRenamed("to", "x"), "a")
+        edges = cut(x.join(moves[-1].select(F.col("a").alias("b"), F.col("to").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct())
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    label = moves[-1].select(F.col("a").alias("node"), F.col("to").alias("label"))
+    for step in reversed(moves[:-1]):
+        on = label.select(F.col("node").alias("to"), "label")
+        label = step.join(on, "to", "left").select(F.col("a").alias("node"), F.coalesce("label", "to").alias("label"))
     low = label.groupBy("label").agg(F.min("node").alias("low"))
     return label.join(low, "label").select("node", F.col("low").alias("label"))
 
