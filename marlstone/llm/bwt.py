@@ -1,64 +1,128 @@
 """Burrows-Wheeler transforms of shards, and their merge by interleave refinement.
 
-A shard is a text of 16-bit codes, cyclic, with code 0 at every segment's end.
-Its transform lists, for the suffixes in sorted order, the pair of codes before
-each. The merge keeps one array: which shard each place of the merged order
-takes its next suffix from. A pass reads the shards' transforms along it and
-moves every place, stably, behind the pair it has read; after k passes the
-array is the interleave of all suffixes sorted by their first 2k codes. Block
-numbers move along, so the places that agree on 2k codes, the repeated
-intervals, are known without comparing or sorting suffixes again.
+A shard is a collection of segments, each closed by an end mark (code 0, the
+bytes are 1 to 256; end marks of later segments are greater). Its transform
+lists, for the shard's sorted suffixes, the code before each. From it alone
+follows where the suffix that begins one code earlier stands in the shard's
+order, and so, by doubling, the last STEP codes before every suffix and where
+the suffix that begins with them stands.
+
+The merge never compares suffixes of different shards. It holds an interleave:
+the shards' rows in the order of their first d codes, with the intervals of
+rows that agree on all d. A pass reads the codes before each row from the row's
+own shard, moves the rows stably behind what they have read, and so has the
+interleave for d + STEP codes; an interval splits where the codes differ. A row
+alone in its interval shares no longer prefix with any other, and leaves. What
+is left at the wanted depth are the repeated intervals: all rows with a common
+prefix of that many codes with another one, in the merged order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+U = np.uint64
+#: Codes that a pass reads.
+STEP = 8
+#: Codes that the first sort of a shard compares at once: 9 bits each.
+HEAD = 7
+
+
+def joined(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Codes of segments of bytes that lie one after another, each closed by its end mark."""
+    out = np.zeros(len(data) + len(size), np.uint16)
+    stay = np.ones(len(out), bool)
+    stay[np.cumsum(size + 1) - 1] = False
+    out[stay] = data.astype(np.uint16) + 1
+    return out
 
-def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a cyclic text sorted by their first `depth` codes at least, ties by place: prefix doubling."""
+
+def suffix_order(codes: np.ndarray) -> np.ndarray:
+    """The shard's suffixes in order; equal up to the end mark, the earlier segment's comes first."""
     n = len(codes)
-    rank = codes.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    size = 1
-    while size < depth and n > 1:
-        key = rank * (n + 512) + np.roll(rank, -(size % n))
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank = new
+    padded = np.concatenate([codes, np.zeros(HEAD, np.uint16)])
+    key = np.zeros(n, np.int64)
+    open_ = np.ones(n, bool)
+    for k in range(HEAD):
+        code = padded[k : k + n]
+        key <<= 9
+        key += np.where(open_, code, 0)
+        open_ &= code > 0
+    order = np.argsort(key)
+    short = np.flatnonzero(~open_[order])  # these have met their end mark: ties by place
+    own = order[short]
+    order[short] = own[np.lexsort((own, key[own]))]
+    k = key[order]
+    new = np.ones(n, bool)
+    new[1:] = (k[1:] != k[:-1]) | ~open_[order[1:]]
+    first = np.flatnonzero(new)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+    size = HEAD
+    # of each group that is not yet settled: its places in the order
+    alone = new & np.append(new[1:], True)
+    at = np.flatnonzero(~alone)
+    while len(at):
+        own = order[at]
+        key = rank[own] * n + rank[own + size]  # an open suffix has its end mark ahead, so own + size is inside
+        move = np.argsort(key)
+        own, key = own[move], key[move]
+        order[at] = own  # groups keep their places
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        rank[own] = np.repeat(at[first], np.diff(np.append(first, len(at))))
+        at = at[~(new & np.append(new[1:], True))]
         size *= 2
-        if rank[order[-1]] == n - 1:
-            break
     return order
 
 
+def transform(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the code before each sorted suffix, the suffixes' places)."""
+    order = suffix_order(codes)
+    return codes[order - 1], order  # before the first place stands the last end mark
 
 
-def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix, block) along the merged order of all shards' suffixes.
+def _earlier(bwt: np.ndarray) -> np.ndarray:
+    """Where the suffix that begins one code earlier stands: rows that read one code keep their order. Of no use for end marks."""
+    out = np.empty(len(bwt), np.int64)
+    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    return out
 
-    A suffix is its place in the shards' texts one after another; suffixes of
-    one block agree on their first `depth` codes (an even number).
+
+def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix, interval) along the merged order, of the suffixes that share their first `depth` codes, no end mark among them, with another.
+
+    A suffix is its place in the shards' codes one after another.
     """
-    bases = np.cumsum([0] + [len(s) for s in shards])
-    orders = [suffix_order(s, depth) for s in shards]
-    pairs = [np.roll(s, 2).astype(np.int64) * 257 + np.roll(s, 1) for s in shards]
-    # pairs that occur, numbered in order over all shards: 16 bits, sorted in linear time; more than that many fall back to a comparison sort
-    values, rank = np.unique(np.concatenate(pairs), return_inverse=True)
-    kind = np.uint16 if len(values) <= 65536 else np.int64
-    bwt = np.concatenate([rank[b : b + len(s)][o] for b, s, o in zip(bases[:-1], shards, orders, strict=True)]).astype(kind)
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), np.diff(bases))
-    block = np.zeros(len(source), np.int32)
-    read = np.empty_like(bwt)
-    for _ in range(depth // 2):
-        read[np.argsort(source, kind="stable")] = bwt  # each place's next pair, from its own shard
-        move = np.argsort(read, kind="stable")
-        source, read, moved = source[move], read[move], block[move]
-        edge = np.ones(len(move), bool)
-        edge[1:] = (read[1:] != read[:-1]) | (moved[1:] != moved[:-1])
-        block = np.cumsum(edge, dtype=np.int32)
-    suffix = np.empty(len(source), np.int64)
-    suffix[np.argsort(source, kind="stable")] = np.concatenate([o + b for b, o in zip(bases[:-1], orders, strict=True)])
-    return suffix, block
+    base = np.cumsum([0] + [len(b) for b, _ in shards])
+    jump = np.concatenate([_earlier(b) + at for (b, _), at in zip(shards, base, strict=False)])
+    read = np.concatenate([b for b, _ in shards])
+    place = np.concatenate([s + at for (_, s), at in zip(shards, base, strict=False)])
+    # the rows that have `depth` codes of their segment before them
+    codes = np.empty(len(place), bool)
+    codes[place] = read == 0
+    begin = np.flatnonzero(codes)  # where a segment's first code is
+    rows = np.flatnonzero(place - begin[np.searchsorted(begin, place, "right") - 1] >= depth)
+    read = read.astype(U) - U(1)  # end marks are never read by these rows
+    by_size = {1: (read, jump)}
+    size = 1
+    while size < min(STEP, depth):
+        read, jump = (read[jump] << U(8 * size)) | (read & U((1 << 8 * size) - 1)), jump[jump]
+        size *= 2
+        by_size[size] = (read, jump)
+    interval = np.zeros(len(rows), np.int64)
+    left = depth
+    while left and len(rows):
+        size = max(s for s in by_size if s <= min(left, STEP))
+        read, jump = by_size[size]
+        seen = read[rows] & U((1 << 8 * size) - 1)
+        move = np.argsort(seen, kind="stable")
+        seen, rows, moved = seen[move], jump[rows[move]], interval[move]
+        new = np.ones(len(rows), bool)
+        new[1:] = (seen[1:] != seen[:-1]) | (moved[1:] != moved[:-1])
+        interval = np.cumsum(new)
+        shared = ~(new & np.append(new[1:], True))
+        rows, interval = rows[shared], interval[shared]
+        left -= size
+    return place[rows], interval

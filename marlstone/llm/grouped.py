@@ -1,72 +1,46 @@
 """Exchange of packed hashes between groups of documents.
 
-Documents are cut into groups of about GROUP_BYTES of text by ranges of doc_id,
-so that the order of groups is the order of documents. A group sends each of
-its different hashes once, packed by bucket, and gets back one bit for each, in
-the same order. A hash that a third of all documents hold reaches its bucket
-once per group, not once per document, and positions never travel. Groups work
-out again what they sent: the documents' exchange is read again, not repeated.
+Documents are dealt into groups of about GROUP_BYTES of text by a hash of
+doc_id (rows without one by a hash of the text), so rows of one id are in one
+group. A group sends each of its different hashes once, packed by bucket, and
+gets back a few bits for each, in the same order; empty packs aren't sent, so
+there are never more packs than hashes. A hash that a third of all documents
+hold reaches its bucket once per group, not once per document, and positions
+never travel. Groups work out again what they sent: the documents' exchange is
+read again, not repeated.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import kernel as K
-from .shared import cut
 
 GROUP_BYTES = 4 << 20
 #: Text bytes for each bucket of hashes.
 BUCKET_BYTES = 24 << 20
 
 
-def _search(cuts: list, value: Column) -> Column:
-    """How many of the sorted cuts are <= value: a binary search."""
-    if not cuts:
-        return F.lit(0)
-    array = F.array(*[F.lit(c) for c in cuts]) if len(cuts) < 2 else F.lit(cuts)
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-
-    def step(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        right = F.get(array, mid) <= value
-        open_ = acc["lo"] < acc["hi"]
-        return F.struct(F.when(open_ & right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(acc["hi"]).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, step, lambda acc: acc["lo"])
-    return F.when(value.isNull(), F.lit(0)).otherwise(found)
-
-
 def group(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """(grp, doc_id, text) and the number of buckets for the exchange.
-
-    Cut points come from a range-partitioned sort of ids and sizes: one value
-    for each group goes to the driver. Rows of one id stay in one group.
-    """
+    """(grp, doc_id, text) and the number of buckets for the exchange; only the sum of sizes comes to the driver."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer")
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = cut(plain.select("doc_id", F.octet_length("text").cast("bigint").alias("size")).sort("doc_id").withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright(F.col("at"), 33)
-    sums = sorted(sizes.groupBy(part.alias("part")).agg(F.sum("size")).collect())  # a row for each partition
-    first, total = {}, 0
-    for p, s in sums:
-        first[int(p)] = total
-        total += s
-    if not first:
-        return plain.select(F.lit(0).alias("grp"), "*"), 1
-    base = F.try_element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.col("part"))
-    running = F.sum("size").over(Window.partitionBy("part").orderBy("at")) + base
-    ends = sizes.withColumn("part", part).withColumn("end", running)
-    begins = ends.filter(F.floor((F.col("end") - F.col("size")) / group_bytes) != F.floor(F.col("end") / group_bytes)).filter("doc_id is not null")
-    cuts = sorted({r[0] for r in begins.select("doc_id").collect()})
-    return plain.select(_search(cuts, F.col("doc_id")).alias("grp"), "doc_id", "text"), max(1, -(-total // BUCKET_BYTES))
+    total = plain.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    groups = max(1, -(-total // group_bytes))
+    name = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return plain.select(F.pmod(name, F.lit(groups)).cast("int").alias("grp"), "doc_id", "text"), max(1, -(-total // BUCKET_BYTES))
 
 
 def ordered(table: pa.Table) -> pa.Table:
     """A group's documents in the order of (doc_id, text), nulls first, however they arrived."""
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.column("doc_id").null_count == 0 else pa.concat_tables([table.filter(table.column("doc_id").is_null()).sort_by("text"), table.filter(table.column("doc_id").is_valid()).sort_by([("doc_id", "ascending"), ("text", "ascending")])])
+    absent = table.column("doc_id").is_null()
+    known = table.filter(table.column("doc_id").is_valid()).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return pa.concat_tables([table.filter(absent).sort_by("text"), known]) if table.column("doc_id").null_count else known
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -83,21 +57,33 @@ def unique_by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return u[order], place[back.ravel()], np.searchsorted(b[order], np.arange(buckets + 1))
 
 
-def packs(raw: bytes, width: int, at: np.ndarray) -> list[bytes]:
-    return [raw[width * a : width * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+def packs(raw: bytes, width: int, at: np.ndarray, some: np.ndarray) -> pa.Array:
+    """The packs of the buckets in some: bytes of `width` for each of the hashes from at[k] to at[k + 1]."""
+    return pa.array([raw[width * a : width * b] for a, b in zip(at[some].tolist(), at[some + 1].tolist(), strict=True)], pa.binary())
+
+
+def sent(grp: int, some: np.ndarray, **packs: pa.Array) -> pa.Table:
+    return pa.table({"bucket": pa.array(some, pa.int32()), "grp": pa.array(np.full(len(some), grp), pa.int32()), **packs})
+
+
+def replied(table: pa.Table, n: np.ndarray, name: str, *flags: np.ndarray) -> pa.Table:
+    """For each pack its flags, one plane of bits after another."""
+    edge = np.concatenate([[0], np.cumsum(n)]).tolist()
+    raw = [b"".join(bits(x[lo:hi]) for x in flags) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), name: pa.array(raw, pa.binary())})
 
 
 def bits(mask: np.ndarray) -> bytes:
     return np.packbits(mask).tobytes()
 
 
-def unbits(parts: dict[int, bytes], at: np.ndarray) -> np.ndarray:
-    """One flag for each hash sent, from the replies by bucket; no reply means 0."""
-    out = np.zeros(int(at[-1]), bool)
-    for b, raw in parts.items():
-        lo, hi = int(at[b]), int(at[b + 1])
-        if raw:
-            out[lo:hi] = np.unpackbits(np.frombuffer(raw, np.uint8), count=hi - lo).astype(bool)
+def unbits(replies: pa.Table, name: str, at: np.ndarray, planes: int = 1) -> np.ndarray:
+    """Flags (planes, hashes) for what was sent, from the replies by bucket; no reply means 0."""
+    out = np.zeros((planes, int(at[-1])), bool)
+    for row in replies.select(["bucket", name]).to_pylist():
+        if row[name]:
+            lo, hi = int(at[row["bucket"]]), int(at[row["bucket"] + 1])
+            out[:, lo:hi] = np.unpackbits(np.frombuffer(row[name], np.uint8).reshape(planes, -1), axis=1, count=hi - lo)
     return out
 
 

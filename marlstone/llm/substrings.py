@@ -6,7 +6,7 @@ BLOCK words of every document probes them. A repeated window of WINDOW =
 BLOCK + STRIDE - 1 words holds a whole reference block wherever it lies, so two
 equal windows always meet in a hit. Hits are extended: all windows of WINDOW
 words around a hit are candidates, and a candidate is a repeat if an equal one
-starts earlier, in another group or in its own. The union of repeats is the
+starts earlier: groups send the least doc_id that holds it along with it. The union of repeats is the
 union of the later sides of all maximal exact repeats of WINDOW words or more.
 
 Block hashes are compared on 32 bits within their bucket, which can only add
@@ -14,8 +14,8 @@ candidates; windows are compared on 64-bit hashes of 64-bit word hashes.
 
 Defined cases: a null text has no words; texts of fewer than WINDOW words keep
 all of them; of equal rows, or rows of one id, the first in the order of text
-keeps its words; null ids come first; an empty table gives no rows; other
-columns are ignored.
+keeps its words; null ids come first, in the order of group and text; an empty
+table gives no rows; other columns are ignored; doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ class Words:
 
     def __init__(self, table: pa.Table):
         self.table = G.ordered(table)
+        self.grp = table.column("grp")[0].as_py() if len(table) else 0
+        self.id = self.table.column("doc_id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
         hashes, count = [], []
         for _, _, data, offsets in K.pieces(self.table.column("text").combine_chunks()):
             starts, ends, at = K.words(data, offsets)
@@ -55,6 +57,10 @@ class Words:
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(self.at[:-1], n) + place, place
 
+    def document(self, place: np.ndarray) -> np.ndarray:
+        """The document of each word place."""
+        return np.searchsorted(self.at, place, "right") - 1
+
     def hashed(self, start: np.ndarray, size: int) -> np.ndarray:
         return K.hash_spans(self.sums, start, start + size)
 
@@ -75,28 +81,25 @@ def _send_blocks(table: pa.Table, buckets: int) -> pa.Table:
     """Per bucket: the group's different window hashes, and which of them are reference blocks."""
     w = Words(table)
     _, _, u, _, at, blocks = _anchors(w, buckets)
-    raw = (u & U(0xFFFFFFFF)).astype("<u4").tobytes()
-    flags = [G.bits(blocks[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    grp = table.column("grp")[0].as_py() if len(table) else 0
-    return pa.table([pa.array(np.arange(buckets), pa.int32()), pa.array(np.full(buckets, grp), pa.int32()), pa.array(G.packs(raw, 4, at), pa.binary()), pa.array(flags, pa.binary())], names=["bucket", "grp", "probes", "blocks"])
+    some = np.flatnonzero(np.diff(at))
+    flags = pa.array([G.bits(blocks[at[k] : at[k + 1]]) for k in some], pa.binary())
+    return G.sent(w.grp, some, probes=G.packs((u & U(0xFFFFFFFF)).astype("<u4").tobytes(), 4, at, some), blocks=flags)
 
 
 def _match_blocks(table: pa.Table) -> pa.Table:
     """For each group's hashes: does another group hold a block of it, or, for its own blocks, a window of it?"""
     probe, n = G.column_arrays(table.column("probes"), "<u4")
-    flags = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=int(k)).astype(bool) if k else np.zeros(0, bool) for x, k in zip(table.column("blocks"), n, strict=True)]
+    flags = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=int(k)).astype(bool) for x, k in zip(table.column("blocks"), n, strict=True)]
     block = np.concatenate(flags) if flags else np.zeros(0, bool)
     u, back, holders = np.unique(probe, return_inverse=True, return_counts=True)
     indexed = np.bincount(back[block], minlength=len(u))
-    hit = (indexed[back] - block > 0) | (block & (holders[back] > 1))
-    edge = np.concatenate([[0], np.cumsum(n)])
-    return pa.table([table.column("grp"), table.column("bucket"), pa.array([G.bits(hit[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["grp", "bucket", "hits"])
+    return G.replied(table, n, "hits", (indexed[back] - block > 0) | (block & (holders[back] > 1)))
 
 
 def _candidates(w: Words, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the windows of WINDOW words that hold a hit."""
     start, is_block, u, back, at, blocks = _anchors(w, buckets)
-    hits = G.unbits({r["bucket"]: r["hits"] for r in replies.to_pylist() if r["hits"] is not None}, at)
+    (hits,) = G.unbits(replies, "hits", at)
     often = np.bincount(back, minlength=len(u)) > 1
     hits |= blocks & often  # a block met again inside the group
     found = np.zeros(len(w.word) + 1, np.int64)
@@ -107,35 +110,38 @@ def _candidates(w: Words, replies: pa.Table, buckets: int) -> tuple[np.ndarray,
     return full, w.hashed(full, WINDOW)
 
 
-def _send_windows(key, docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+def _send_windows(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     w = Words(docs)
-    _, h = _candidates(w, replies, buckets)
-    u, _, at = G.unique_by_bucket(h, buckets)
+    start, h = _candidates(w, replies, buckets)
+    u, back, at = G.unique_by_bucket(h, buckets)
     some = np.flatnonzero(np.diff(at))
-    packs = G.packs(u.tobytes(), 8, at)
-    return pa.table([pa.array(some, pa.int32()), pa.array(np.full(len(some), key[0].as_py()), pa.int32()), pa.array([packs[k] for k in some], pa.binary())], names=["bucket", "grp", "names"])
+    return G.sent(w.grp, some, names=G.packs(u.tobytes(), 8, at, some), least=G.packs(w.id[w.document(_firsts(start, back, len(u)))].tobytes(), 8, at, some))
+
+
+def _firsts(start: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
+    """The first start of each different window; starts follow the order of documents."""
+    first = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(first, back, start)
+    return first
 
 
 def _match_windows(table: pa.Table) -> pa.Table:
-    """For each group's windows: does an earlier group hold it?"""
+    """For each group's windows: does the group hold the first of all?"""
     name, n = G.column_arrays(table.column("names"), "<u8")
+    least, _ = G.column_arrays(table.column("least"), "<i8")
     grp = np.repeat(table.column("grp").to_numpy(), n)
-    u, back = np.unique(name, return_inverse=True)
-    first = np.full(len(u), np.iinfo(np.int64).max)
-    np.minimum.at(first, back, grp)
-    earlier = first[back] < grp
-    edge = np.concatenate([[0], np.cumsum(n)])
-    return pa.table([table.column("grp"), table.column("bucket"), pa.array([G.bits(earlier[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["grp", "bucket", "earlier"])
+    order = np.lexsort((grp, least, name))
+    own = np.zeros(len(name), bool)
+    own[order] = np.concatenate([[True], name[order][1:] != name[order][:-1]])[: len(name)]
+    return G.replied(table, n, "own", own)
 
 
-def _keep(key, docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+def _keep(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     w = Words(docs)
-    start, h = _candidates(w, replies.filter(replies.column("hits").is_valid()), buckets)
+    start, h = _candidates(w, replies, buckets)
     u, back, at = G.unique_by_bucket(h, buckets)
-    earlier = G.unbits({r["bucket"]: r["earlier"] for r in replies.to_pylist() if r["earlier"] is not None}, at)
-    first = np.full(len(u), np.iinfo(np.int64).max)
-    np.minimum.at(first, back, start)  # starts follow the order of documents
-    again = start[earlier[back] | (first[back] < start)] if len(start) else start
+    (own,) = G.unbits(replies, "own", at)
+    again = start[~own[back] | (_firsts(start, back, len(u))[back] < start)] if len(start) else start
     cover = np.zeros(len(w.word) + 1, np.int64)
     np.add.at(cover, again, 1)
     np.add.at(cover, again + WINDOW, -1)
@@ -160,8 +166,8 @@ def repeated_words(docs: DataFrame, group_bytes: int = G.GROUP_BYTES, buckets: i
     p = buckets or most
     sent = grouped.groupBy("grp").applyInArrow(lambda t: _send_blocks(t, p), "bucket int, grp int, probes binary, blocks binary")
     hits = sent.groupBy("bucket").applyInArrow(lambda t: _match_blocks(t), "grp int, bucket int, hits binary")
-    named = grouped.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(lambda key, x, y: _send_windows(key, x, y, p), "bucket int, grp int, names binary")
-    early = named.groupBy("bucket").applyInArrow(lambda t: _match_windows(t), "grp int, bucket int, earlier binary")
-    replies = hits.withColumn("earlier", F.lit(None).cast("binary")).unionByName(early.withColumn("hits", F.lit(None).cast("binary")))
-    again = replies.select(F.col("grp").alias("of"), F.col("bucket").alias("bucket"), "hits", "earlier")
-    return grouped.groupBy("grp").cogroup(again.groupBy("of")).applyInArrow(lambda key, x, y: _keep(key, x, y, p), f"doc_id {kind}, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept_sha256 string")
+    named = grouped.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(lambda x, y: _send_windows(x, y, p), "bucket int, grp int, names binary, least binary")
+    first = named.groupBy("bucket").applyInArrow(lambda t: _match_windows(t), "grp int, bucket int, own binary")
+    replies = hits.withColumn("own", F.lit(None).cast("binary")).unionByName(first.withColumn("hits", F.lit(None).cast("binary")))
+    again = replies.select(F.col("grp").alias("of"), "bucket", "hits", "own")
+    return grouped.groupBy("grp").cogroup(again.groupBy("of")).applyInArrow(lambda x, y: _keep(x, y, p), f"doc_id {kind}, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept_sha256 string")

@@ -9,17 +9,21 @@ nowhere else holds no repeat. A run whose whole phrase occurs elsewhere holds
 nothing but repeats: that settles the insides of long repeats. What is left are
 the edges, phrases that share an anchor but not all of their text.
 
-Edges, with one copy of each settled phrase that shares their anchors, go
-through Burrows-Wheeler transforms: shards of a group's edges are transformed,
-merged by interleave refinement (see bwt), and the merge's blocks of LENGTH
-common codes are the repeated intervals. Groups then merge their intervals by
-name, one 64-bit hash for each interval, so a passage found in any number of
-documents reaches its bucket once per group.
+Edges, with one copy of each settled phrase that shares their anchors, travel to
+the bucket of their anchor. There the edges of all groups are cut into shards,
+each shard gets its Burrows-Wheeler transform, and the transforms are merged by
+interleave refinement (see bwt) down to LENGTH codes: what shares so long a
+prefix is in a repeated interval, and each group gets back one bit for each
+window that it sent. The merge alone decides about edges.
+
+An anchor with very many phrases (the rim of a passage in a third of all
+documents) isn't sent to one bucket: its windows are sent one by one, once for
+each group, and dealt by their own hash; they meet their equals in a merge too.
 
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing;
 windows never cross documents; equal rows, also of one id, are different places
 and remove each other wholly if long enough; an empty table gives no rows;
-other columns are ignored. A document longer than a group is a group of its own.
+other columns are ignored; doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -38,7 +42,11 @@ from . import kernel as K
 LENGTH, GRAM = 200, 50
 GROUP_BYTES = 2 << 20
 #: Edge text of one shard of a merge.
-SHARD_BYTES = 1 << 17
+SHARD_BYTES = 1 << 20
+#: An anchor with more phrases than this is dealt out window by window.
+HOT_PHRASES = 4096
+#: Places of a group fit into this many bits; the hash's upper bits stand above them.
+PLACE = 32
 U = K.U
 
 
@@ -47,6 +55,7 @@ class Runs:
 
     def __init__(self, table: pa.Table, length: int, gram: int):
         self.table, self.length = G.ordered(table), length
+        self.grp = table.column("grp")[0].as_py() if len(table) else 0
         self.data, self.at = K.buffers(self.table.column("text").combine_chunks())
         n = len(self.data)
         self.sums = K.prefix(K.byte_values()[self.data])
@@ -55,11 +64,10 @@ class Runs:
         self.anchor = self.phrase = empty.astype(U)
         if n < length:
             return
-        where = np.arange(n - gram + 1)
-        h = K.hash_spans(self.sums, where, where + gram)
-        shift = U(max(1, int(n - 1).bit_length()))
-        key = (h >> shift << shift) | where.astype(U)  # the hash, then the place
-        least = K.sliding_min(key, length - gram + 1) & ((U(1) << shift) - U(1))
+        inverse = K.powers(n + 1)[1][: n - gram + 1]
+        h = K.mix((self.sums[gram:] - self.sums[: n - gram + 1]) * inverse + U(gram * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        key = (h >> U(PLACE) << U(PLACE)) | np.arange(len(h), dtype=U)  # the hash, then the place
+        least = K.sliding_min(key, length - gram + 1) & U((1 << PLACE) - 1)
         sizes = np.diff(self.at)
         valid = np.zeros(n + 1, np.int8)
         long = sizes >= length
@@ -91,16 +99,13 @@ class Runs:
 
 def _send_pairs(table: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     r = Runs(table, length, gram)
-    s, p, _, at = r.pairs(buckets)
-    grp = table.column("grp")[0].as_py() if len(table) else 0
-    return pa.table(
-        [pa.array(np.arange(buckets), pa.int32()), pa.array(np.full(buckets, grp), pa.int32()), pa.array(G.packs((s & U(0xFFFFFFFF)).astype("<u4").tobytes(), 4, at), pa.binary()), pa.array(G.packs(p.tobytes(), 8, at), pa.binary())],
-        names=["bucket", "grp", "anchors", "phrases"],
-    )
+    a, p, _, at = r.pairs(buckets)
+    some = np.flatnonzero(np.diff(at))
+    return G.sent(r.grp, some, anchors=G.packs((a & U(0xFFFFFFFF)).astype("<u4").tobytes(), 4, at, some), phrases=G.packs(p.tobytes(), 8, at, some))
 
 
-def _match_pairs(table: pa.Table) -> pa.Table:
-    """For each pair: is the phrase in another group; has the anchor another phrase, anywhere; is this the phrase's first group?"""
+def _match_pairs(table: pa.Table, hot: int) -> pa.Table:
+    """For each pair: is the phrase in another group; has the anchor another phrase, anywhere; is this the phrase's first group; has the anchor very many?"""
     anchor, n = G.column_arrays(table.column("anchors"), "<u4")
     phrase, _ = G.column_arrays(table.column("phrases"), "<u8")
     grp = np.repeat(table.column("grp").to_numpy(), n)
@@ -111,96 +116,98 @@ def _match_pairs(table: pa.Table) -> pa.Table:
     new_p = new_a.copy()
     new_p[1:] |= p[1:] != p[:-1]
     id_a, id_p = np.cumsum(new_a) - 1, np.cumsum(new_p) - 1
-    shared = np.bincount(id_p)[id_p] > 1 if len(a) else new_a
-    mixed = np.bincount(id_a[new_p])[id_a] > 1 if len(a) else new_a
-    out = np.zeros((3, len(a)), bool)
-    out[0, order], out[1, order], out[2, order] = shared, mixed, new_p
-    edge = np.concatenate([[0], np.cumsum(n)])
-    three = [b"".join(G.bits(x[lo:hi]) for x in out) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.table([table.column("grp"), table.column("bucket"), pa.array(three, pa.binary())], names=["grp", "bucket", "pairs"])
-
-
-def _sort_out(r: Runs, replies: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the runs: settled as repeats; edges; and the copies of settled phrases that stand by the edges."""
-    _, _, back, at = r.pairs(buckets)
-    flags = np.zeros((3, int(at[-1])), bool)
-    for row in replies:
-        if row["pairs"] is not None:
-            lo, hi = int(at[row["bucket"]]), int(at[row["bucket"] + 1])
-            raw = np.frombuffer(row["pairs"], np.uint8).reshape(3, -1) if hi > lo else None
-            if raw is not None:
-                flags[:, lo:hi] = np.unpackbits(raw, axis=1, count=hi - lo)
-    shared, mixed, first = (f[back] for f in flags)
-    local = np.bincount(back, minlength=int(at[-1]))[back] > 1
-    settled = shared | local
-    lead = np.zeros(len(back), bool)
-    lead[np.unique(back, return_index=True)[1]] = True
-    return settled, mixed & ~settled, mixed & settled & first & lead
+    phrases = np.bincount(id_a[new_p])[id_a] if len(a) else np.zeros(0, np.int64)
+    out = np.zeros((4, len(a)), bool)
+    out[0, order] = np.bincount(id_p)[id_p] > 1 if len(a) else new_a
+    out[1, order], out[2, order], out[3, order] = phrases > 1, new_p, phrases > hot
+    return G.replied(table, n, "pairs", *out)
+
+
+class Edges:
+    """What a group sends to the merges: segments in the order of their buckets, and the windows in them."""
+
+    def __init__(self, r: Runs, replies: pa.Table, buckets: int):
+        _, _, back, at = r.pairs(buckets)
+        shared, mixed, first, hot = (f[back] for f in G.unbits(replies, "pairs", at, 4))
+        local = np.bincount(back, minlength=int(at[-1]))[back] > 1
+        lead = np.zeros(len(back), bool)
+        lead[np.unique(back, return_index=True)[1]] = True
+        self.settled = shared | local
+        chosen = mixed & (~self.settled | (first & lead))
+        few, many = chosen & ~hot, chosen & hot
+        start = _starts(r, many)  # each different window of a hot anchor once
+        h = K.hash_spans(r.sums, start, start + r.length)
+        _, once, self.same = np.unique(h, return_index=True, return_inverse=True)
+        self.alike, self.often = start, np.bincount(self.same, minlength=len(once))[self.same] > 1
+        a = np.concatenate([r.first[few], start[once]])
+        b = np.concatenate([r.last[few], start[once]]) + r.length
+        bucket = G.bucket_of(np.concatenate([r.anchor[few], h[once]]), buckets)
+        order = np.argsort(bucket, kind="stable")
+        self.begin, self.size = a[order], (b - a)[order]
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        self.some = np.flatnonzero(np.diff(edge))
+        self.edge = edge
+        self.n_windows = self.size - r.length + 1
+        self.at = np.concatenate([[0], np.cumsum(self.n_windows)])[edge]  # by bucket, in windows
+        self.place = np.empty(len(a), np.int64)
+        self.place[order] = np.arange(len(a))
+        self.n_few = int(few.sum())
+
+    def windows(self) -> np.ndarray:
+        return _spread(self.begin, self.n_windows)
+
+    def text(self, r: Runs) -> list[bytes]:
+        raw = r.data[_spread(self.begin, self.size)].tobytes()
+        at = np.concatenate([[0], np.cumsum(self.size)])[self.edge]
+        return [raw[int(at[k]) : int(at[k + 1])] for k in self.some]
+
+    def repeated(self, flags: np.ndarray) -> np.ndarray:
+        """Starts of all repeated windows among the edges, from the flags of those sent."""
+        found = self.windows()[flags]
+        if len(self.alike):  # a window sent once stands for all its equals in the group
+            first = np.concatenate([[0], np.cumsum(self.n_windows)])[self.place[self.n_few :]]
+            found = np.concatenate([found, self.alike[self.often | flags[first][self.same]]])
+        return found
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each of n places, one after another."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def _starts(r: Runs, chosen: np.ndarray) -> np.ndarray:
-    a, b = r.first[chosen], r.last[chosen]
-    n = b - a + 1
-    return np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return _spread(r.first[chosen], r.last[chosen] - r.first[chosen] + 1)
 
 
-def _send_names(key, docs: pa.Table, replies: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
+def _send_edges(docs: pa.Table, replies: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     r = Runs(docs, length, gram)
-    _, edge, by = _sort_out(r, replies.to_pylist(), buckets)
-    start = _starts(r, edge | by)
-    u, _, at = G.unique_by_bucket(K.hash_spans(r.sums, start, start + length), buckets)
-    some = np.flatnonzero(np.diff(at))
-    packs = G.packs(u.tobytes(), 8, at)
-    return pa.table([pa.array(some, pa.int32()), pa.array(np.full(len(some), key[0].as_py()), pa.int32()), pa.array([packs[k] for k in some], pa.binary())], names=["bucket", "grp", "names"])
-
-
-def _match_names(table: pa.Table) -> pa.Table:
-    """For each group's intervals: does another group hold it?"""
-    name, n = G.column_arrays(table.column("names"), "<u8")
-    _, back, count = np.unique(name, return_inverse=True, return_counts=True)
-    other = count[back] > 1
-    edge = np.concatenate([[0], np.cumsum(n)])
-    return pa.table([table.column("grp"), table.column("bucket"), pa.array([G.bits(other[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["grp", "bucket", "names"])
-
-
-def intervals(r: Runs, chosen: np.ndarray, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window start, interval) for the windows of the chosen runs, by merging the transforms of their shards."""
-    a, b = r.first[chosen], r.last[chosen] + r.length
-    if not len(a):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1] + (b[:-1] - r.length - a[:-1]) + 1  # neighbouring runs share a segment
-    head = np.flatnonzero(new)
-    seg_a, seg_b = a[head], b[np.append(head[1:], len(a)) - 1]
-    size = seg_b - seg_a + 1  # with the end mark
-    shard = np.cumsum(size) // shard_bytes
-    shards, places = [], []
-    for k in np.unique(shard):
-        own = np.flatnonzero(shard == k)
-        codes = np.zeros(int(size[own].sum()), np.uint16)
-        place = np.full(len(codes), -1, np.int64)
-        at = 0
-        for s, e in zip(seg_a[own].tolist(), seg_b[own].tolist(), strict=True):
-            codes[at : at + e - s] = r.data[s:e].astype(np.uint16) + 1
-            place[at : at + e - s - r.length + 1] = np.arange(s, e - r.length + 1)
-            at += e - s + 1
-        shards.append(codes)
-        places.append(place)
-    suffix, block = bwt.merge(shards, r.length + r.length % 2)
-    start = np.concatenate(places)[suffix]
-    real = start >= 0
-    return start[real], block[real].astype(np.int64)
-
-
-def _keep(key, docs: pa.Table, replies: pa.Table, buckets: int, length: int, gram: int, shard_bytes: int) -> pa.Table:
+    e = Edges(r, replies, buckets)
+    sizes = [e.size[e.edge[k] : e.edge[k + 1]].astype("<i4").tobytes() for k in e.some]
+    return G.sent(r.grp, e.some, segments=pa.array(e.text(r), pa.binary()), sizes=pa.array(sizes, pa.binary()))
+
+
+def _merge_edges(table: pa.Table, length: int, shard_bytes: int) -> pa.Table:
+    """For each window of the segments: is it in a repeated interval of the merged transforms of all groups?"""
+    data, _ = G.column_arrays(table.column("segments"), np.uint8)
+    size, own = G.column_arrays(table.column("sizes"), "<i4")
+    size = size.astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    cuts = np.searchsorted(at, np.arange(0, int(at[-1]), shard_bytes))
+    cuts = np.unique(np.append(cuts, len(size)))
+    shards = [bwt.transform(bwt.joined(data[at[a] : at[b]], size[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    again = np.zeros(int(at[-1]) + len(size), bool)
+    if shards:
+        again[bwt.merge(shards, length)[0]] = True
+    begin = at[:-1] + np.arange(len(size))  # each segment has an end mark
+    windows = size - length + 1
+    n = np.diff(np.concatenate([[0], np.cumsum(windows)])[np.concatenate([[0], np.cumsum(own)])])
+    return G.replied(table, n, "windows", again[_spread(begin, windows)])
+
+
+def _keep(docs: pa.Table, replies: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     r = Runs(docs, length, gram)
-    rows = replies.to_pylist()
-    settled, edge, by = _sort_out(r, rows, buckets)
-    start, interval = intervals(r, edge | by, shard_bytes)
-    u, back, at = G.unique_by_bucket(K.hash_spans(r.sums, start, start + length), buckets)
-    elsewhere = G.unbits({x["bucket"]: x["names"] for x in rows if x["names"] is not None}, at)[back]
-    often = np.bincount(interval)[interval] > 1 if len(interval) else np.zeros(0, bool)
-    again = start[often | elsewhere]
+    e = Edges(r, replies, buckets)
+    again, settled = e.repeated(G.unbits(replies, "windows", e.at)[0]), e.settled
     n = len(r.data)
     cover = np.zeros(n + length + 1, np.int32)
     np.add.at(cover, r.first[settled], 1)
@@ -232,16 +239,16 @@ def _keep(key, docs: pa.Table, replies: pa.Table, buckets: int, length: int, gra
     return pa.table([r.table.column("doc_id"), pa.array(np.diff(r.at)), pa.array(lost, pa.int64()), pa.array(spans, pa.int64()), pa.array(removed, kind), pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256"])
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, buckets: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, buckets: int | None = None, shard_bytes: int = SHARD_BYTES, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, removed (byte spans), kept_sha256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     grouped, most = G.group(docs, group_bytes)
     p = buckets or most
     sent = grouped.groupBy("grp").applyInArrow(lambda t: _send_pairs(t, p, length, gram), "bucket int, grp int, anchors binary, phrases binary")
-    pairs = sent.groupBy("bucket").applyInArrow(lambda t: _match_pairs(t), "grp int, bucket int, pairs binary")
-    named = grouped.groupBy("grp").cogroup(pairs.groupBy("grp")).applyInArrow(lambda key, x, y: _send_names(key, x, y, p, length, gram), "bucket int, grp int, names binary")
-    other = named.groupBy("bucket").applyInArrow(lambda t: _match_names(t), "grp int, bucket int, names binary")
-    replies = pairs.withColumn("names", F.lit(None).cast("binary")).unionByName(other.withColumn("pairs", F.lit(None).cast("binary")))
-    again = replies.select(F.col("grp").alias("of"), F.col("bucket").alias("bucket"), "pairs", "names")
+    pairs = sent.groupBy("bucket").applyInArrow(lambda t: _match_pairs(t, hot_phrases), "grp int, bucket int, pairs binary")
+    edges = grouped.groupBy("grp").cogroup(pairs.groupBy("grp")).applyInArrow(lambda x, y: _send_edges(x, y, p, length, gram), "bucket int, grp int, segments binary, sizes binary")
+    merged = edges.groupBy("bucket").applyInArrow(lambda t: _merge_edges(t, length, shard_bytes), "grp int, bucket int, windows binary")
+    replies = pairs.withColumn("windows", F.lit(None).cast("binary")).unionByName(merged.withColumn("pairs", F.lit(None).cast("binary")))
+    again = replies.select(F.col("grp").alias("of"), "bucket", "pairs", "windows")
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<start:int,end:int>>, kept_sha256 string"
-    return grouped.groupBy("grp").cogroup(again.groupBy("of")).applyInArrow(lambda key, x, y: _keep(key, x, y, p, length, gram, shard_bytes), schema)
+    return grouped.groupBy("grp").cogroup(again.groupBy("of")).applyInArrow(lambda x, y: _keep(x, y, p, length, gram), schema)

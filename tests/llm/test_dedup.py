@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import bwt, neardup, substrings, suffixes
@@ -118,28 +119,75 @@ def byte_model(rows, length):
     return {i: sorted(v) for i, v in out.items()}
 
 
-@pytest.mark.parametrize(("length", "gram", "size", "buckets", "shard"), [(200, 50, 2 << 20, 1, 1 << 17), (30, 8, 400, 4, 200), (12, 5, 150, 3, 50)])
-def test_repeated_bytes_against_brute_force(spark, length, gram, size, buckets, shard):
+@pytest.mark.parametrize(("length", "gram", "size", "buckets", "shard", "hot"), [(200, 50, 2 << 20, 1, 1 << 17, 4096), (30, 8, 400, 4, 200, 4096), (12, 5, 150, 3, 50, 4096), (12, 5, 400, 3, 100, 1), (30, 8, 400, 4, 200, 2)])
+def test_repeated_bytes_against_brute_force(spark, length, gram, size, buckets, shard, hot):
     rows = corpus(4) + [(7, "again " * 30)]
     out = {}
-    for r in suffixes.repeated_bytes(table(spark, rows), length, gram, size, buckets, shard).collect():
+    for r in suffixes.repeated_bytes(table(spark, rows), length, gram, size, buckets, shard, hot).collect():
         assert sum(s.end - s.start for s in r.removed) == r.n_removed and len(r.removed) == r.n_spans
         out.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
     assert {i: sorted(v) for i, v in out.items()} == byte_model(rows, length)
 
 
-def test_merge_orders_all_suffixes():
+def test_merged_transforms_give_the_repeated_intervals():
+    """Against sorting all suffixes of all shards."""
     rng = np.random.default_rng(2)
-    shards = [np.append(rng.integers(1, 4, n), 0).astype(np.uint16) for n in (40, 1, 25, 60)]
-    suffix, block = bwt.merge(shards, 8)
-    base = np.cumsum([0] + [len(s) for s in shards])
-    text = {}
-    for s, b in zip(shards, base, strict=False):
-        for k in range(len(s)):
-            text[b + k] = tuple(np.roll(s, -k)[np.arange(8) % len(s)].tolist())
-    keys = [text[x] for x in suffix.tolist()]
-    assert sorted(suffix.tolist()) == list(range(base[-1])) and keys == sorted(keys)
-    assert [a == b for a, b in zip(keys, keys[1:], strict=False)] == (block[1:] == block[:-1]).tolist()
+    for _ in range(60):
+        depth, letters, texts, codes, shards = int(rng.integers(1, 30)), int(rng.integers(2, 5)), [], [], []
+        for _ in range(int(rng.integers(1, 5))):
+            own = [rng.integers(0, letters, int(rng.integers(0, 60))).astype(np.uint8) for _ in range(int(rng.integers(1, 8)))]
+            own += texts[:1]
+            texts += own
+            codes.append(bwt.joined(np.concatenate(own), np.array([len(x) for x in own])))
+            shards.append(bwt.transform(codes[-1]))
+            ends = np.flatnonzero(codes[-1] == 0)
+            marked = codes[-1].astype(int) + len(codes[-1])
+            marked[ends] = np.arange(len(ends))
+            keys = [tuple(marked[k : ends[np.searchsorted(ends, k)] + 1]) for k in shards[-1][1]]
+            assert keys == sorted(keys)
+        text = np.concatenate(codes)
+        found = {}
+        for k in range(len(text) - depth + 1):
+            if (text[k : k + depth] > 0).all():
+                found.setdefault(tuple(text[k : k + depth].tolist()), []).append(k)
+        suffix, interval = bwt.merge(shards, depth)
+        assert sorted(suffix.tolist()) == sorted(k for v in found.values() if len(v) > 1 for k in v)
+        keys = [tuple(text[k : k + depth].tolist()) for k in suffix]
+        assert keys == sorted(keys)
+        assert [x == y for x, y in zip(keys, keys[1:], strict=False)] == (interval[1:] == interval[:-1]).tolist()
+
+
+def test_the_merge_decides_about_edges(spark, monkeypatch):
+    """Passages that end at different places: without the merge their rims would stay."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    rows = [(k, f"{rng.random()}{passage[: 205 + 9 * k]}{rng.random()}") for k in range(6)]
+    get = lambda: {r.doc_id: r.n_removed for r in suffixes.repeated_bytes(table(spark, rows), group_bytes=400, buckets=3).collect()}
+    whole = get()
+    assert whole == {i: x[0][1] for i, x in byte_model(rows, 200).items()} and min(whole.values()) >= 205
+    monkeypatch.setattr(suffixes, "_merge_edges", _no_merge)
+    assert sum(get().values()) < sum(whole.values())
+
+
+def _no_merge(table, length, shard_bytes):
+    return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "windows": pa.array([b""] * len(table), pa.binary())})
+
+
+def test_rows_sent_grow_with_the_input(spark):
+    """Groups send no empty packs: packs grow with the text, not with groups times buckets."""
+    counts = []
+    for n in (1, 2, 4):
+        rows = [(i, t) for k in range(n) for i, t in ((100 * k + i, None if t is None else t.replace("a", f"a{k}")) for i, t in corpus(20 + k))]
+        words = sum(len((t or "").split()) for _, t in rows)
+        grouped = table(spark, rows).selectExpr("cast(doc_id % 40 as int) as grp", "doc_id", "coalesce(text, '') as text")
+        buckets = 200 * n
+        blocks = grouped.groupBy("grp").applyInArrow(lambda t: substrings._send_blocks(t, buckets), "bucket int, grp int, probes binary, blocks binary")  # noqa: B023
+        pairs = grouped.groupBy("grp").applyInArrow(lambda t: suffixes._send_pairs(t, buckets, 40, 10), "bucket int, grp int, anchors binary, phrases binary")  # noqa: B023
+        sent = [blocks.count(), pairs.count()]
+        counts.append((words, *sent))
+    for words, blocks, pairs in counts:
+        assert blocks < words and pairs < words
+    assert counts[2][1] < 6 * counts[0][1] and counts[2][2] < 6 * counts[0][2]
 
 
 def test_empty_tables(spark):
