@@ -2,23 +2,24 @@
 
 A shard is a collection of segments, each closed by an end mark (code 0, the
 bytes are 1 to 256; end marks of later segments are greater). Its transform
-lists, for the shard's sorted suffixes, the code before each. From it alone
-follows where the suffix that begins one code earlier stands in the shard's
-order, and so, by doubling, the last STEP codes before every suffix and where
-the suffix that begins with them stands.
-
-The merge never compares suffixes of different shards. It holds an interleave:
-the shards' rows in the order of their first d codes, with the intervals of
-rows that agree on all d. A pass reads the codes before each row from the row's
-own shard, moves the rows stably behind what they have read, and so has the
-interleave for d + STEP codes; an interval splits where the codes differ. A row
-alone in its interval shares no longer prefix with any other, and leaves. What
-is left at the wanted depth are the repeated intervals: all rows with a common
-prefix of that many codes with another one, in the merged order.
+lists, for the shard's sorted suffixes, the codes before each, several at a
+time, and where the suffix that begins with them stands in the shard's order.
+
+The merge never compares suffixes of different shards, nor sorts them anew. It
+holds an interleave: the shards' rows in the order of their first d codes, with
+the intervals of rows that agree on all d. A pass reads the codes before each
+row from the row's own transform, moves the rows stably behind what they have
+read, and so has the interleave for d and as many codes more; an interval
+splits where the codes differ. A row alone in its interval shares no longer
+prefix with any other, and leaves. What is left at the wanted depth are the
+repeated intervals: all rows with a common prefix of that many codes with
+another one, in the merged order.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 U = np.uint64
@@ -77,52 +78,71 @@ def suffix_order(codes: np.ndarray) -> np.ndarray:
     return order
 
 
-def transform(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the code before each sorted suffix, the suffixes' places)."""
-    order = suffix_order(codes)
-    return codes[order - 1], order  # before the first place stands the last end mark
+class Shard(NamedTuple):
+    """A shard's transform: by sorted suffix its place, whether `depth` codes stand before it, and for each size of a pass the codes read and the row that begins with them."""
 
+    place: np.ndarray
+    deep: np.ndarray
+    passes: list[tuple[np.ndarray, np.ndarray]]
 
-def _earlier(bwt: np.ndarray) -> np.ndarray:
-    """Where the suffix that begins one code earlier stands: rows that read one code keep their order. Of no use for end marks."""
-    out = np.empty(len(bwt), np.int64)
-    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
-    return out
+
+def sizes(depth: int) -> list[int]:
+    """Codes that the passes read: STEP as long as it goes, then the rest."""
+    return [STEP] * (depth // STEP) + [depth % STEP] * (depth % STEP > 0)
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def transform(codes: np.ndarray, depth: int) -> Shard:
+    place = suffix_order(codes).astype(np.int32)
+    n = len(codes)
+    row = np.empty(n, np.int32)
+    row[place] = np.arange(n, dtype=np.int32)
+    ends = np.flatnonzero(codes == 0)
+    begin = np.concatenate([[0], ends[:-1] + 1])
+    before = np.arange(n) - np.repeat(begin, ends + 1 - begin)  # codes of its own segment before each place
+    byte = (codes - 1).astype(np.uint8).astype(U)
+    passes = []
+    for size in dict.fromkeys(sizes(depth)):
+        read = np.zeros(n, U)
+        for k in range(1, min(size, n - 1) + 1):  # where fewer stand before, what is read is of no use and never asked for
+            read[k:] |= byte[: n - k] << U(8 * (k - 1))
+        passes.append((read[place], row[np.maximum(place - size, 0)]))
+    return Shard(place, before[place] >= depth, passes)
+
+
+def _stable(x: np.ndarray) -> np.ndarray:
+    """The stable order: two sorts without a comparison of equals are faster than a stable one."""
+    order = np.argsort(x)
+    ordered = x[order]
+    key = np.zeros(len(x), U)
+    key[1:] = np.cumsum(ordered[1:] != ordered[:-1])
+    key = (key << U(32)) | order.astype(U)
+    key.sort()
+    return (key & U(0xFFFFFFFF)).astype(np.int64)
+
+
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, interval) along the merged order, of the suffixes that share their first `depth` codes, no end mark among them, with another.
 
     A suffix is its place in the shards' codes one after another.
     """
-    base = np.cumsum([0] + [len(b) for b, _ in shards])
-    jump = np.concatenate([_earlier(b) + at for (b, _), at in zip(shards, base, strict=False)])
-    read = np.concatenate([b for b, _ in shards])
-    place = np.concatenate([s + at for (_, s), at in zip(shards, base, strict=False)])
-    # the rows that have `depth` codes of their segment before them
-    codes = np.empty(len(place), bool)
-    codes[place] = read == 0
-    begin = np.flatnonzero(codes)  # where a segment's first code is
-    rows = np.flatnonzero(place - begin[np.searchsorted(begin, place, "right") - 1] >= depth)
-    read = read.astype(U) - U(1)  # end marks are never read by these rows
-    by_size = {1: (read, jump)}
-    size = 1
-    while size < min(STEP, depth):
-        read, jump = (read[jump] << U(8 * size)) | (read & U((1 << 8 * size) - 1)), jump[jump]
-        size *= 2
-        by_size[size] = (read, jump)
-    interval = np.zeros(len(rows), np.int64)
-    left = depth
-    while left and len(rows):
-        size = max(s for s in by_size if s <= min(left, STEP))
-        read, jump = by_size[size]
-        seen = read[rows] & U((1 << 8 * size) - 1)
-        move = np.argsort(seen, kind="stable")
+    base = np.cumsum([0] + [len(s.place) for s in shards])
+    rows = np.flatnonzero(np.concatenate([s.deep for s in shards]))
+    tables = {}
+    for k, size in enumerate(dict.fromkeys(sizes(depth))):
+        jump = np.concatenate([s.passes[k][1] for s in shards])
+        for at, end in zip(base[:-1], base[1:], strict=True):
+            jump[at:end] += np.int32(at)
+        tables[size] = (np.concatenate([s.passes[k][0] for s in shards]), jump)
+    interval = np.zeros(len(rows), np.int32)
+    for size in sizes(depth):
+        read, jump = tables[size]
+        seen = read[rows]
+        move = _stable(seen)
         seen, rows, moved = seen[move], jump[rows[move]], interval[move]
         new = np.ones(len(rows), bool)
         new[1:] = (seen[1:] != seen[:-1]) | (moved[1:] != moved[:-1])
-        interval = np.cumsum(new)
         shared = ~(new & np.append(new[1:], True))
-        rows, interval = rows[shared], interval[shared]
-        left -= size
+        interval = np.cumsum(new, dtype=np.int32)[shared]
+        rows = rows[shared]
+    place = np.concatenate([s.place + np.int64(at) for s, at in zip(shards, base, strict=False)])
     return place[rows], interval

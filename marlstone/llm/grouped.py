@@ -26,14 +26,14 @@ BUCKET_BYTES = 24 << 20
 
 
 def group(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """(grp, doc_id, text) and the number of buckets for the exchange; only the sum of sizes comes to the driver."""
+    """(grp, doc_id, text) and the bytes of all texts; only that sum comes to the driver."""
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be an integer")
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     groups = max(1, -(-total // group_bytes))
     name = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return plain.select(F.pmod(name, F.lit(groups)).cast("int").alias("grp"), "doc_id", "text"), max(1, -(-total // BUCKET_BYTES))
+    return plain.select(F.pmod(name, F.lit(groups)).cast("int").alias("grp"), "doc_id", "text"), total
 
 
 def ordered(table: pa.Table) -> pa.Table:

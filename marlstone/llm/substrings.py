@@ -162,8 +162,8 @@ def _keep(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
 def repeated_words(docs: DataFrame, group_bytes: int = G.GROUP_BYTES, buckets: int | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, removed (spans of word numbers), kept_sha256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    grouped, most = G.group(docs, group_bytes)
-    p = buckets or most
+    grouped, total = G.group(docs, group_bytes)
+    p = buckets or -(-total // G.BUCKET_BYTES) or 1
     sent = grouped.groupBy("grp").applyInArrow(lambda t: _send_blocks(t, p), "bucket int, grp int, probes binary, blocks binary")
     hits = sent.groupBy("bucket").applyInArrow(lambda t: _match_blocks(t), "grp int, bucket int, hits binary")
     named = grouped.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(lambda x, y: _send_windows(x, y, p), "bucket int, grp int, names binary, least binary")

@@ -43,6 +43,8 @@ LENGTH, GRAM = 200, 50
 GROUP_BYTES = 2 << 20
 #: Edge text of one shard of a merge.
 SHARD_BYTES = 1 << 20
+#: Text bytes for each bucket of edges.
+EDGE_BYTES = 6 << 20
 #: An anchor with more phrases than this is dealt out window by window.
 HOT_PHRASES = 4096
 #: Places of a group fit into this many bits; the hash's upper bits stand above them.
@@ -126,8 +128,8 @@ def _match_pairs(table: pa.Table, hot: int) -> pa.Table:
 class Edges:
     """What a group sends to the merges: segments in the order of their buckets, and the windows in them."""
 
-    def __init__(self, r: Runs, replies: pa.Table, buckets: int):
-        _, _, back, at = r.pairs(buckets)
+    def __init__(self, r: Runs, replies: pa.Table, pair_buckets: int, buckets: int):
+        _, _, back, at = r.pairs(pair_buckets)
         shared, mixed, first, hot = (f[back] for f in G.unbits(replies, "pairs", at, 4))
         local = np.bincount(back, minlength=int(at[-1]))[back] > 1
         lead = np.zeros(len(back), bool)
@@ -179,9 +181,9 @@ def _starts(r: Runs, chosen: np.ndarray) -> np.ndarray:
     return _spread(r.first[chosen], r.last[chosen] - r.first[chosen] + 1)
 
 
-def _send_edges(docs: pa.Table, replies: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
+def _send_edges(docs: pa.Table, replies: pa.Table, pair_buckets: int, buckets: int, length: int, gram: int) -> pa.Table:
     r = Runs(docs, length, gram)
-    e = Edges(r, replies, buckets)
+    e = Edges(r, replies, pair_buckets, buckets)
     sizes = [e.size[e.edge[k] : e.edge[k + 1]].astype("<i4").tobytes() for k in e.some]
     return G.sent(r.grp, e.some, segments=pa.array(e.text(r), pa.binary()), sizes=pa.array(sizes, pa.binary()))
 
@@ -194,7 +196,7 @@ def _merge_edges(table: pa.Table, length: int, shard_bytes: int) -> pa.Table:
     at = np.concatenate([[0], np.cumsum(size)])
     cuts = np.searchsorted(at, np.arange(0, int(at[-1]), shard_bytes))
     cuts = np.unique(np.append(cuts, len(size)))
-    shards = [bwt.transform(bwt.joined(data[at[a] : at[b]], size[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    shards = [bwt.transform(bwt.joined(data[at[a] : at[b]], size[a:b]), length) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     again = np.zeros(int(at[-1]) + len(size), bool)
     if shards:
         again[bwt.merge(shards, length)[0]] = True
@@ -204,9 +206,9 @@ def _merge_edges(table: pa.Table, length: int, shard_bytes: int) -> pa.Table:
     return G.replied(table, n, "windows", again[_spread(begin, windows)])
 
 
-def _keep(docs: pa.Table, replies: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
+def _keep(docs: pa.Table, replies: pa.Table, pair_buckets: int, buckets: int, length: int, gram: int) -> pa.Table:
     r = Runs(docs, length, gram)
-    e = Edges(r, replies, buckets)
+    e = Edges(r, replies, pair_buckets, buckets)
     again, settled = e.repeated(G.unbits(replies, "windows", e.at)[0]), e.settled
     n = len(r.data)
     cover = np.zeros(n + length + 1, np.int32)
@@ -242,13 +244,13 @@ def _keep(docs: pa.Table, replies: pa.Table, buckets: int, length: int, gram: in
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, buckets: int | None = None, shard_bytes: int = SHARD_BYTES, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, removed (byte spans), kept_sha256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    grouped, most = G.group(docs, group_bytes)
-    p = buckets or most
+    grouped, total = G.group(docs, group_bytes)
+    p, q = (buckets or -(-total // size) or 1 for size in (G.BUCKET_BYTES, EDGE_BYTES))
     sent = grouped.groupBy("grp").applyInArrow(lambda t: _send_pairs(t, p, length, gram), "bucket int, grp int, anchors binary, phrases binary")
     pairs = sent.groupBy("bucket").applyInArrow(lambda t: _match_pairs(t, hot_phrases), "grp int, bucket int, pairs binary")
-    edges = grouped.groupBy("grp").cogroup(pairs.groupBy("grp")).applyInArrow(lambda x, y: _send_edges(x, y, p, length, gram), "bucket int, grp int, segments binary, sizes binary")
+    edges = grouped.groupBy("grp").cogroup(pairs.groupBy("grp")).applyInArrow(lambda x, y: _send_edges(x, y, p, q, length, gram), "bucket int, grp int, segments binary, sizes binary")
     merged = edges.groupBy("bucket").applyInArrow(lambda t: _merge_edges(t, length, shard_bytes), "grp int, bucket int, windows binary")
     replies = pairs.withColumn("windows", F.lit(None).cast("binary")).unionByName(merged.withColumn("pairs", F.lit(None).cast("binary")))
     again = replies.select(F.col("grp").alias("of"), "bucket", "pairs", "windows")
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<start:int,end:int>>, kept_sha256 string"
-    return grouped.groupBy("grp").cogroup(again.groupBy("of")).applyInArrow(lambda x, y: _keep(x, y, p, length, gram), schema)
+    return grouped.groupBy("grp").cogroup(again.groupBy("of")).applyInArrow(lambda x, y: _keep(x, y, p, q, length, gram), schema)

@@ -139,11 +139,11 @@ def test_merged_transforms_give_the_repeated_intervals():
             own += texts[:1]
             texts += own
             codes.append(bwt.joined(np.concatenate(own), np.array([len(x) for x in own])))
-            shards.append(bwt.transform(codes[-1]))
+            shards.append(bwt.transform(codes[-1], depth))
             ends = np.flatnonzero(codes[-1] == 0)
             marked = codes[-1].astype(int) + len(codes[-1])
             marked[ends] = np.arange(len(ends))
-            keys = [tuple(marked[k : ends[np.searchsorted(ends, k)] + 1]) for k in shards[-1][1]]
+            keys = [tuple(marked[k : ends[np.searchsorted(ends, k)] + 1]) for k in shards[-1].place]
             assert keys == sorted(keys)
         text = np.concatenate(codes)
         found = {}
