@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -110,6 +111,53 @@ def test_labelled_pages_are_learnt(model):
     assert np.mean([a == b for a, b in zip(model.extract(pages), want, strict=True)]) > 0.9
 
 
+TALE = "The council met again on Tuesday evening, and after a long debate nobody was sure how the vote would go. " * 2
+ASIDE = "Read the other stories that our editors chose for you this week, and tell your friends about them too. " * 2
+TEXTS = ["A Heading Of Some Words", TALE.strip(), "A shorter one follows.", TALE.strip()]
+BODY = f"<h2>{TEXTS[0]}</h2><p>{TEXTS[1]}</p><p>{TEXTS[2]}</p><p>{TEXTS[3]}</p>"
+LINKS = "".join(f"<li><a href='/{k}'>Page {k}</a></li>" for k in range(6))
+#: Layouts and class words that the training pages don't have: what surrounds the body of text.
+HELD_OUT = [
+    "<html><body><div>{}</div></body></html>", "<html><body>{}</body></html>", "<div class=zorkmid><div class=frob>{}</div></div>", f"<div><ul>{LINKS}</ul></div><div>{{}}</div>",
+    f"<div id=kopf><ul>{LINKS}</ul></div><div id=inhalt>{{}}</div><footer>Imprint and more</footer>", f'<main>{{}}<div id="disqus_thread"><p>{ASIDE}</p></div></main>',
+    f'<article>{{}}<section class="discussion"><div class="remark"><p>{ASIDE}</p></div></section></article>', "<article>{}</article><div role=contentinfo>All rights reserved.</div>",
+    '<div class="pagination">1 <a href="/2">2</a> <a href="/3">3</a></div><div class=blob>{}</div>', f"<article>{{}}<p hidden>{ASIDE}</p><div style='display: none'>{ASIDE}</div></article>",
+    f"<table><tr><td><ul>{LINKS}</ul></td><td>{{}}</td></tr></table>", f"<section>{{}}</section><aside>{ASIDE}</aside><form><p>Your name</p></form>",
+]
+
+
+def test_held_out_layouts(model):
+    """Precision and recall by block of text, over layouts that were never trained on."""
+    kept = right = wanted = 0
+    for layout in HELD_OUT:
+        html = layout.format(BODY)
+        page = html_text.Page(html)
+        blocks = [x for x in page.texts if x is not None]
+        got = model.extract([html])[0]
+        for x in blocks:
+            kept += x in got
+            wanted += x in TEXTS
+            right += x in got and x in TEXTS
+        if layout in HELD_OUT[:3]:
+            assert got == " ".join(TEXTS)
+    assert right / wanted > 0.95 and right / kept > 0.9
+
+
+HOSTILE = ["<a b" * 250_000, "<a " + '"' * 1_000_000, "<a b=\"" * 160_000, "<p c='\"" * 120_000, "<" * 1_000_000, "<div>" * 200_000, "</div>" * 160_000, "<!--" * 250_000, "<script>" * 120_000, "<a " + "=" * 1_000_000, "<div " + "class='" * 140_000 + ">", "<svg><g>" * 100_000, "&#" * 500_000, "<button>" * 120_000, "<select><div>" * 80_000]
+
+
+@pytest.mark.parametrize("k", range(len(HOSTILE)))
+def test_hostile_pages_end_in_time(model, k):
+    begun = time.process_time()
+    model.extract([HOSTILE[k] + "<p>End.</p>"])
+    assert time.process_time() - begun < 3  # about a tenth of that is usual; quadratic reading takes minutes
+
+
+def test_scripts_do_not_part_words_and_open_quotes_end(model):
+    assert model.extract(["<article><p>wo<script>x</script>rd and <style>p{}</style>more<!-- no --> of it.</p></article>"]) == ["word and more of it."]
+    assert model.extract([f'<article><p class="x>{TALE}</p></article>']) == [TALE.strip()]
+
+
 def test_page_table(spark):
     rows = [(1, "u", None, "t"), (2, "u", "", "t"), (3, None, "text only", "t"), (3, None, "<article><p>" + "a " * 50000 + "</p></article>", "t"), (None, "u", "<", "t")]
     out = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
