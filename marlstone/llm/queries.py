@@ -30,7 +30,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secret_scan.scan(load(spark, sf_dir, "documents"))
+    found = secret_scan.scan(load(spark, sf_dir, "documents"))
     spans = F.col("findings")
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("bigint")
     base = F.filter(spans, lambda s: s["kind"] < secret_scan.BASE)

@@ -29,27 +29,46 @@ def secret_texts():
 def test_secrets_against_brute_force(spark):
     texts = secret_texts()
     docs = spark.createDataFrame([(i, t, "b", 1) for i, t in enumerate(texts)], "doc_id long, text string, blob_id string, findings int")
-    found, ledger = secret_scan.scan(docs)
+    ledger = secret_scan.Ledger.fresh(spark)
+    found = secret_scan.scan(docs, ledger)
     got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.findings if s.kind < secret_scan.BASE] for r in found.collect()}
     assert got == {i: secrets_model(t or "") for i, t in enumerate(texts)}
-    assert ledger.count() == len({t or "" for t in texts})
+    assert ledger.rows().count() == len({t or "" for t in texts})
 
 
 def test_added_rules(spark):
     text = "ghp_" + "a1" * 18 + " -----BEGIN RSA PRIVATE KEY-----"
-    found, _ = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    found = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert found.select(secret_scan.render(F.col("findings"))).first()[0] == "github:0:40,hex:4:40,pem:41:72"
 
 
-def test_only_unseen_blobs_are_scanned(spark):
+def test_only_unseen_pairs_are_scanned(spark):
+    """Every pair of blob and rule version is read once, and what was found before is still reported."""
     one = spark.createDataFrame([(1, "token=12345678"), (2, "b")], "doc_id long, text string")
-    two = one.union(spark.createDataFrame([(3, "token=12345678"), (4, "secret=abcdefgh")], "doc_id long, text string"))
-    _, ledger = secret_scan.scan(one)
-    found, new = secret_scan.scan(two, ledger)
-    assert new.count() == 1
-    assert {r.doc_id: len(r.findings) for r in found.collect()} == {1: 1, 2: 0, 3: 1, 4: 1}
-    _, again = secret_scan.scan(two, ledger.unionByName(new), rule_version="2")
-    assert again.count() == 3
+    two = one.union(spark.createDataFrame([(3, "token=12345678"), (4, "secret=abcdefgh"), (None, "secret=abcdefgh")], "doc_id long, text string"))
+    ledger = secret_scan.Ledger.fresh(spark)
+    secret_scan.scan(one, ledger)
+    due = secret_scan.unseen(two.selectExpr("doc_id", "sha2(text, 256) as blob_id"), ledger.rows(), secret_scan.RULES).collect()
+    assert [(r.doc_id, len(r.todo)) for r in due] == [(4, len(secret_scan.RULES))]
+    found = secret_scan.scan(two, ledger)
+    assert ledger.rows().count() == 3
+    assert sorted((r.doc_id or 0, len(r.findings)) for r in found.collect()) == [(0, 1), (1, 1), (2, 0), (3, 1), (4, 1)]
+    assert secret_scan.read_blobs(two, ledger.rows()).isEmpty()
+    # an edited rule has a new version: all blobs are due, for that rule alone, and the old rule's findings are out of force
+    edited = (("assign", "(token)=([0-9]+)", 2, 8), *secret_scan.RULES[1:])
+    due = secret_scan.unseen(two.selectExpr("doc_id", "sha2(text, 256) as blob_id"), ledger.rows(), edited).collect()
+    assert len(due) == 3 and all(r.todo == [secret_scan.version(edited[0])] for r in due)
+    found = secret_scan.scan(two, ledger, edited)
+    assert ledger.rows().count() == 6
+    assert sorted((r.doc_id or 0, len(r.findings)) for r in found.collect()) == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)]
+    assert {r.doc_id: len(r.findings) for r in secret_scan.scan(one, ledger).collect()} == {1: 1, 2: 0}
+
+
+def test_secrets_of_empty_and_null_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert secret_scan.scan(none).count() == 0
+    rows = spark.createDataFrame([(None, "AKIA" + "A" * 16), (None, None), (5, ""), (5, ""), (6, "AKIA" + "A" * 16)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, len(r.findings)) for r in secret_scan.scan(rows).collect()) == [(0, 0), (0, 1), (5, 0), (5, 0), (6, 1)]
 
 
 def test_secret_digests(spark, tmp_path):
