@@ -10,6 +10,8 @@ double precision and merged.
 A window is WINDOW_SHARE of the rows to either side. In data without low
 dimensional structure the order along a curve says little about nearness, so a
 constant number of rows would lose recall as the data grow; the share keeps it.
+With share=1 every row is in every window and the search is exact: that is the
+way for all that windows may miss. Below MIN_WINDOW rows it is so by itself.
 
 Equal vectors are one entry: a search needs at most k + 1 of their ids, the
 least ones, so thousands of copies crowd no window.
@@ -28,7 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -41,6 +43,8 @@ BLOCK = 2048
 #: The index is fitted on this many vectors at most, taken by a hash of their id; every vector is indexed.
 FIT_ROWS = 10_000
 SEED = 11
+#: Scores of the matrix products differ from the exact ones by far less.
+NEAR = 1e-9
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -107,33 +111,37 @@ def _keys(batches: Iterator[pa.RecordBatch], curves, bits: int) -> Iterator[pa.R
 
 
 def _rerank(left: pa.Table, right: pa.Table, most: int) -> pa.Table:
-    """The `most` best of a block's vectors for each of its queries."""
+    """The `most` best of a block's vectors for each of its queries, and those as good up to NEAR: which of them come first is settled exactly."""
     ids, queries = left.column("rep").to_numpy(), right.column("query").to_numpy()
     schema = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
     if not len(ids) or not len(queries):
         return schema.empty_table()
-    order = np.argsort(ids)
-    ids = ids[order]
-    u = _unit(_matrix(left.column("vector").combine_chunks()))[order]
+    u = _unit(_matrix(left.column("vector").combine_chunks()))
     q = _unit(_matrix(right.column("asked").combine_chunks()))
     keep = min(most, len(ids))
     out_q, out_r, out_s = [], [], []
     for lo in range(0, len(q), 512):
         score = q[lo : lo + 512] @ u.T
-        best = np.argsort(-score, axis=1, kind="stable")[:, :keep]  # stable: ties to the smaller id
-        out_q.append(np.repeat(queries[lo : lo + 512], keep))
-        out_r.append(ids[best].ravel())
-        out_s.append(np.take_along_axis(score, best, axis=1).ravel())
+        last = np.partition(score, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        row, best = np.nonzero(score >= last[:, None] - NEAR)
+        out_q.append(queries[lo + row])
+        out_r.append(ids[best])
+        out_s.append(score[row, best])
     return pa.table([pa.array(np.concatenate(x)) for x in (out_q, out_r, out_s)], schema=schema)
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cosine of each row's two vectors, term by term in one order, whatever block found them."""
-    for batch in batches:
-        x, y = _matrix(batch.column("x")), _matrix(batch.column("y"))
-        x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
-        score = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("rep"), pa.array(score)], names=["query", "rep", "score"])
+def _dot(x: Column, y: Column) -> Column:
+    """Term by term from the first on: the same sum wherever it is taken."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def cosine(x: Column, y: Column) -> Column:
+    """The cosine of two arrays of doubles; vectors whose squares would leave the range of a double are scaled first."""
+    plain = lambda a, b: _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+    top = lambda v: F.array_max(F.transform(v, lambda e: F.abs(e)))
+    by = lambda v: F.transform(F.array(top(v)), lambda m: F.transform(v, lambda e: e / m))[0]
+    safe = lambda v: top(v).between(1e-100, 1e100)
+    return F.when(safe(x) & safe(y), plain(x, y)).otherwise(plain(by(x), by(y)))
 
 
 def entries(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +160,7 @@ def entries(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return hashed.select("id", "mark"), cut(least.join(vector, "mark"))
 
 
-def search(vectors: DataFrame, wanted: DataFrame, k: int = 5, curves: int = CURVES, axes: int = AXES, bits: int = BITS, share: float = WINDOW_SHARE, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, wanted: DataFrame, k: int = 5, curves: int = CURVES, axes: int = AXES, bits: int = BITS, share: float = WINDOW_SHARE, block: int = BLOCK, least: int = MIN_WINDOW) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every id of wanted (id) among vectors (id, vector)."""
     spark = vectors.sparkSession
     rows, distinct = entries(vectors, k)
@@ -168,17 +176,18 @@ def search(vectors: DataFrame, wanted: DataFrame, k: int = 5, curves: int = CURV
     place = ranked.select("rep", "curve", (F.col("row_number") - F.col("curve").cast("bigint") * n).alias("place"))
     asked = cut(rows.join(wanted.select(F.col("id").cast("bigint").alias("id")).distinct(), "id", "left_semi").distinct().join(distinct.select("mark", "rep"), "mark").select("id", "rep"))
     reps = asked.select("rep").distinct()
-    reach = max(MIN_WINDOW, int(np.ceil(share * n)))
+    reach = max(least, int(np.ceil(share * n)))
     dealt = place.join(distinct.select("rep", "vector"), "rep").select("curve", F.floor(F.col("place") / block).alias("block"), "rep", "vector")
     spots = place.join(reps, "rep", "left_semi").join(distinct.select("rep", "vector"), "rep")
     first, last = F.floor(F.greatest(F.lit(0), F.col("place") - reach) / block), F.floor(F.least(F.lit(n - 1), F.col("place") + reach) / block)
     spots = spots.select(F.col("curve").alias("of"), F.explode(F.sequence(first, last)).alias("at"), F.col("rep").alias("query"), F.col("vector").alias("asked"))
     found = dealt.groupBy("curve", "block").cogroup(spots.groupBy("of", "at")).applyInArrow(partial(_rerank, most=k + 1), "query bigint, rep bigint, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    few = found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 4)
+    best = Window.partitionBy("query").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.coalesce(F.nth_value("score", k + 1).over(best), F.lit(-2.0))
+    few = found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("last", last).filter(F.col("score") >= F.col("last") - NEAR)
     x = few.select("query", "rep").join(distinct.select(F.col("rep").alias("query"), F.col("vector").alias("x")), "query")
     xy = x.join(distinct.select("rep", F.col("vector").alias("y")), "rep")
-    exact = xy.select("query", "rep", "x", "y").mapInArrow(_exact, "query bigint, rep bigint, score double")
+    exact = xy.select("query", "rep", cosine(F.col("x"), F.col("y")).alias("score"))
     each = exact.join(distinct.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     pairs = asked.withColumnRenamed("rep", "query").join(each, "query").filter("id <> vec_id")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")

@@ -25,6 +25,11 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Shares of the sample's tokens that the registered query and the pipeline ask for; sources have none and are tempered.
+TARGETS = {
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
+    "topic": {"long": 0.3, "medium": 0.53, "short": 0.03, "table": 0.06, "symbols": 0.06, "shouting": 0.02},
+}
 #: Without explicit targets a share s becomes s ** TEMPER, normalised: small sources gain, large ones lose.
 TEMPER = 0.8
 #: Share of all tokens that the sample is to hold.

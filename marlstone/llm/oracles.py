@@ -52,6 +52,17 @@ s as (select doc_id, count(*) as n_spans, sum(z - a) as lost from span group by
 select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(lost, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256 from d left join s using (doc_id) left join kept using (doc_id)"""
 
 
+#: Every query against every row, sums taken term by term as in ann.cosine. Windows hold all rows up to 1,024 of them; above, op8 is approximate and this is what it approximates.
+NEIGHBOURS = """
+with v as (select vec_id, cast(embedding as double[]) as x from embeddings where vec_id is not null and embedding is not null),
+s as (select distinct vec_id, x from v where len(x) > 0 and len(list_filter(x, lambda e: e is null or isnan(e) or isinf(e))) = 0 and len(list_filter(x, lambda e: e <> 0)) > 0),
+m as (select len(x) as d from s group by 1 order by count(*) desc, 1 limit 1),
+n as (select vec_id, x, sqrt(list_reduce(list_transform(x, lambda e: e * e), lambda a, b: a + b)) as size from s, m where len(x) = d),
+p as (select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]), lambda a, b: a + b) / (q.size * c.size) as score from n q join n c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from p)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5"""
+
+
 def _feistel(x: str) -> str:
     """One pass over the rectangle, as SQL over columns a and b of the scope."""
     pair = f"{{'l': ({x}) // b, 'r': ({x}) % b}}"

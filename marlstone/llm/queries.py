@@ -56,7 +56,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs.withColumn("topic", mixing.topic(F.col("text"))))
+    mixed = mixing.mix(docs.withColumn("topic", mixing.topic(F.col("text"))), targets=mixing.TARGETS)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
@@ -82,5 +82,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": oracles.SECRETS,
     "op5_minhash": oracles.NEAR_DUPLICATES,
     "op6_sharding": oracles.SHARDING,
+    "op8_neighbours": oracles.NEIGHBOURS,
     "op9_suffix_dedup": oracles.SUFFIXES,
 }

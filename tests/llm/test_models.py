@@ -36,6 +36,36 @@ def test_quality_edge_cases(spark):
     assert quality.score(docs.limit(0), w).count() == 0
 
 
+def test_ftrl_against_a_plain_loop():
+    """The updates, one coordinate after another, as published for FTRL-proximal."""
+    rng = random.Random(2)
+    rows = []
+    for _ in range(60):
+        buckets = sorted(rng.sample(range(50), 6)) + [quality.BUCKETS]
+        rows.append((np.array(buckets), np.array([rng.random() for _ in buckets]), rng.randint(0, 1)))
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.05, 0.2
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for i, x, y in rows:
+            w = {int(k): weight(int(k)) for k in i}
+            p = 1 / (1 + np.exp(-sum(w[int(k)] * v for k, v in zip(i, x, strict=True))))
+            for k, v in zip(i.tolist(), x.tolist(), strict=True):
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / alpha * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    got = quality.ftrl(rows, alpha, beta, l1, l2, epochs=2)
+    want = np.zeros(quality.BUCKETS + 1)
+    for k in z:
+        want[k] = weight(k)
+    assert np.allclose(got, want, atol=1e-12) and np.count_nonzero(got) > 10
+
+
 def test_features_by_hand():
     text = ["ab ab!! c", "", "x"]
     import pyarrow as pa
@@ -194,6 +224,29 @@ def test_neighbours_against_brute_force(spark):
     assert [(r.query_id, r.vec_id) for r in two] == [(0, 1)]
 
 
+def test_neighbours_beyond_the_window(spark):
+    """The approximate path: windows of 80 rows to either side among 2,400 with three hidden dimensions, and the exact way."""
+    rng = np.random.default_rng(5)
+    shape = rng.normal(size=(3, 8))
+    rows = [(i, (rng.normal(size=3) @ shape + 0.02 * rng.normal(size=8)).tolist()) for i in range(2400)]
+    table = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = list(range(0, 2400, 60))
+    wanted = spark.createDataFrame([(i,) for i in asked], "id long")
+    truth = {q: [i for _, i in nearest(rows, q, 5)] for q in asked}
+    for share, least, floor in ((0.0, 80, 0.9), (1.0, 1, 1.0)):
+        got = {}
+        for r in ann.search(table, wanted, k=5, share=share, least=least, block=32).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert sum(len(set(got[q]) & set(truth[q])) for q in asked) / (5 * len(asked)) >= floor
+
+
+def test_neighbours_tied_between_different_vectors(spark):
+    rows = [(i, [float(2 ** (i % 7)), 0.0, 0.0]) for i in range(40)] + [(100, [3.0, 0.0, 0.0]), (50, [0.0, 1.0, 0.0])]
+    out = ann.search(spark.createDataFrame(rows, "id long, vector array<double>"), spark.createDataFrame([(100,), (0,)], "id long"), k=5).collect()
+    got = {q: [r.vec_id for r in sorted(out, key=lambda r: r.rank) if r.query_id == q] for q in (100, 0)}
+    assert got == {100: [0, 1, 2, 3, 4], 0: [1, 2, 3, 4, 5]}
+
+
 def test_hilbert_visits_neighbours():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side), axis=-1).reshape(-1, 3)

@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from marlstone.llm import mixing, queries, secret_scan, sharding
@@ -143,6 +145,80 @@ def test_sample_meets_the_targets_with_cells_at_their_bound(spark):
     assert abs(expected - 0.6) < 1e-4
 
 
+def plain_mix(rows, targets, keep, temper=mixing.TEMPER, seed=mixing.SEED):
+    """Raking, calibration and draw in plain Python: {doc_id: (weight, probability, sampled)}. Factors are found by bisection."""
+    dims = ("source", "lang", "topic")
+    cells = {}
+    for r in rows:
+        key = tuple(r[d] if r[d] is not None else "\0" for d in dims)
+        cells[key] = cells.get(key, 0) + len((r["text"] or "").split())
+    total = sum(cells.values())
+    own = [{} for _ in dims]
+    for key, n in cells.items():
+        for k, c in enumerate(key):
+            own[k][c] = own[k].get(c, 0) + n
+    goals = []
+    for k, d in enumerate(dims):
+        raw = {c: targets.get(d, {}).get(c, n / total) if targets.get(d) else (n / total) ** temper for c, n in own[k].items() if n}
+        goals.append({c: raw.get(c, 0) / sum(raw.values()) for c in own[k]})
+    raked = {key: float(n) for key, n in cells.items()}
+    for _ in range(3000):
+        for k in range(3):
+            have = {}
+            for key, v in raked.items():
+                have[key[k]] = have.get(key[k], 0) + v
+            raked = {key: v * goals[k][key[k]] * total / have[key[k]] if have[key[k]] else 0 for key, v in raked.items()}
+    reach = []
+    for k in range(3):
+        lo, hi = 0.0, 1e9 * total
+        for _ in range(300):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(own[k][x], c * g) for x, g in goals[k].items()) < keep * total else (lo, c)
+        reach.append({x: min(own[k][x], lo * g) for x, g in goals[k].items()})
+    share = {key: keep for key in cells}
+    for _ in range(400):
+        for k in range(3):
+            for c, goal in reach[k].items():
+                mine = [key for key in cells if key[k] == c]
+                lo, hi = 0.0, 1e9
+                for _ in range(120):
+                    f = (lo * hi) ** 0.5 if lo > 0 else hi / 1e6
+                    lo, hi = (f, hi) if sum(cells[x] * min(1.0, f * share[x]) for x in mine) < goal * (1 - 1e-13) else (lo, f)
+                    if hi / max(lo, 1e-300) < 1 + 1e-14:
+                        break
+                for x in mine:
+                    share[x] *= hi if goal < own[k][c] * (1 - 1e-9) else 2.0
+                    share[x] = min(share[x], 1e12)
+    out = {}
+    for r in rows:
+        key = tuple(r[d] if r[d] is not None else "\0" for d in dims)
+        p = min(1.0, share[key]) if cells[key] else 1.0
+        h = xxhash.xxh64(struct.pack("<i", seed), seed=42).intdigest()
+        h = xxhash.xxh64(struct.pack("<q", r["doc_id"]), seed=h).intdigest()
+        h = xxhash.xxh64(r["text"].encode(), seed=h).intdigest() if r["text"] is not None else h
+        draw = (h - (1 << 64) if h >> 63 else h) % (1 << 40) / (1 << 40)
+        out.setdefault(r["doc_id"], []).append((raked[key] / cells[key] if cells[key] else 0.0, p, draw))
+    return out
+
+
+@pytest.mark.filterwarnings("ignore:margins")
+@pytest.mark.parametrize("row_cells", [mixing.ROW_CELLS, 0])
+def test_mix_against_plain_python(spark, monkeypatch, row_cells):
+    monkeypatch.setattr(mixing, "ROW_CELLS", row_cells)
+    rng = random.Random(12)
+    rows = [{"doc_id": i, "text": None if i % 97 == 0 else "w " * rng.randint(0, 60), "source": rng.choice(["a", "a", "a", "b", "c", None]), "lang": rng.choice("xxy"), "topic": rng.choice("ppppq")} for i in range(600)]
+    rows += [rows[5], rows[5]]  # repeated rows share one fate
+    targets = {"lang": {"x": 0.5, "y": 0.5}, "source": {"a": 0.3, "b": 0.4, "c": 0.2, "unknown": 0.1}}
+    docs = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, source string, lang string, topic string")
+    want = plain_mix(rows, targets, 0.6)
+    got = mixing.mix(docs, targets=targets, keep=0.6).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        weight, p, draw = want[r.doc_id][0]
+        assert abs(r.weight - weight) < 1e-3 and abs(r.probability - p) < 1e-3
+        assert r.sampled == (draw < r.probability)
+
+
 def test_margins_that_cannot_be_met_are_reported(spark):
     docs = skewed(spark, 60)
     targets = {"source": {"big": 0.8, "small": 0.2}}
