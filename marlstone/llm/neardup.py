@@ -263,6 +263,7 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = spread.join(common, "key", "left").withColumn("rank", rank).filter((F.col("rank") <= reach) & F.col("c").isNotNull())
     prefix = cut(ranked.select("key", "rep", "n", "label", "rank", (F.col("rank") <= near).alias("near")))
     most = prefix.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("major"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    most = cut(most)  # a plain join of two shuffles, whose large partitions Spark can split
     mixed = prefix.join(most, "key").join(sets.select("rep", "marks"), "rep")
     # the rows outside an element's most frequent component against all of its rows
     minor = mixed.filter("label <> major").select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("rank").alias("pr"), F.col("near").alias("pnear"), F.col("marks").alias("pmarks"))
@@ -300,6 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     placed = cut(member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")))
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
     split = sizes.groupBy("key").agg(F.count("*").alias("labels")).filter("labels > 1").select("key")
+    split = cut(split)
     open_ = cut(placed.join(split, "key", "left_semi").select("rep", "n", "label").distinct())
     more = cross_pairs(open_, sets, percent)
     links = links.unionByName(cut(confirm(more, sets, percent)))
@@ -307,3 +309,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     rep = classes.select(*same, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("doc_id", *same).join(rep, same, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs that stay, with all their columns: the least doc_id of each group, once.
+
+    Equal rows of one id and text leave one of them. Rows without an id are in
+    no group; of those with equal texts one stays.
+    """
+    groups = near_duplicates(docs, percent, size, bands, rows)
+    # only ids that go are joined
+    gone = groups.filter("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = cut(kept.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("again")))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    once = kept.join(again, same, "left_anti")
+    return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)

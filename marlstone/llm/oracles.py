@@ -9,17 +9,22 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _NORMAL = r"regexp_extract_all(coalesce({}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_LENGTHS = "coalesce(list_sum(list_transform({}, lambda v: length(v))), 0)"
+
 DECONTAMINATION = f"""
-with d as (select doc_id, {_NORMAL.format(_LOWER.format('text'))} as w from documents),
+with d as (select doc_id, {_NORMAL.format(_LOWER.format('text'))} as w, string_split_regex(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as g from documents),
 b as (select cast(item_id as varchar) as item, {_NORMAL.format(_LOWER.format('text'))} as w from benchmark where item_id is not null),
 p as (select item, least(len(w), 10) as m, array_to_string(w[k:k + 9], ' ') as win from (select *, unnest(range(1, greatest(1, len(w) - 9) + 1)) as k from b where len(w) > 0)),
 sizes as (select distinct m from p),
 dw as (select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') as win from (select *, unnest(range(1, len(w) - m + 2)) as i from d, sizes where len(w) >= m)),
 h as (select doc_id, i, dw.m, item from dw join p on dw.m = p.m and dw.win = p.win),
-n as (select doc_id, count(distinct ix) as n_hit from (select doc_id, unnest(range(i, i + m)) as ix from (select distinct doc_id, i, m from h)) group by doc_id),
+x as (select distinct doc_id, ix from (select doc_id, unnest(range(i, i + m)) as ix from (select distinct doc_id, i, m from h))),
+n as (select doc_id, count(*) as n_hit from x group by doc_id),
+runs as (select doc_id, min(ix) as a, max(ix) as z from (select *, ix - row_number() over (partition by doc_id order by ix) as run from x) group by doc_id, run),
+sp as (select doc_id, string_agg(concat({_LENGTHS.format('g[1:a]')} + {_LENGTHS.format('w[1:a - 1]')}, ':', {_LENGTHS.format('g[1:z]')} + {_LENGTHS.format('w[1:z]')}), ',' order by a) as spans from runs join d using (doc_id) group by doc_id),
 it as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as items from h group by doc_id)
-select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join n using (doc_id) left join it using (doc_id)"""
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(spans, '') as spans
+from d left join n using (doc_id) left join it using (doc_id) left join sp using (doc_id)"""
 
 SUBSTRINGS = f"""
 with d as (select doc_id, {_WORDS.format('text')} as w from documents),

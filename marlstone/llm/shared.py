@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's own spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, is a temporary one made.
+    Only a session in one process, as in tests, may do without: it gets a temporary one.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marlstone-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marlstone-"))
     return context.getCheckpointDir()
 
 
@@ -31,6 +35,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Rows that may be sent to all executors: a few numbers each, some 10 MB in all.
 SENT_ROWS = 100_000
+#: Keys with fewer rows are never hot.
+LEAST_HOT = 256
 
 
 def with_hot(rows: DataFrame, hot: DataFrame, on: Column) -> DataFrame:
@@ -47,7 +53,7 @@ def meet(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     other keys are shuffled, and no task gets more of one key than that.
     """
     total = groups.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    most = max(256, -(-total // SENT_ROWS))
+    most = max(LEAST_HOT, -(-total // SENT_ROWS))
     hot, cold = groups.filter(F.col("c") > most), groups.filter(F.col("c") <= most)
     if hot.isEmpty():
         return rows.join(groups, key)
