@@ -11,8 +11,8 @@ mix           rows drawn by the calibrated probability of their source, language
 shard         all rows: doc_id, size, text_crc32, shard and slot
 
 Each stage works on the rows that it is given. An empty input passes through
-all stages; rows with a null id are never scored as duplicates; a repeated id
-is kept or dropped with its group.
+all stages; equal rows of one id, and equal texts of rows without one, leave one
+of them; a repeated id is kept or dropped with its group; other columns pass by.
 """
 
 from __future__ import annotations
@@ -39,10 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = neardup.near_duplicates(docs, percent=PERCENT, bands=BANDS, rows=ROWS)
-    # only ids that go are joined; a group's least id stays, once
-    gone = groups.filter("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return neardup.one_of_each(docs.select(*COLUMNS), percent=PERCENT, bands=BANDS, rows=ROWS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +47,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs.select(*COLUMNS, mixing.topic(F.col("text")).alias("topic")))
+    mixed = mixing.mix(docs.select(*COLUMNS, mixing.topic(F.col("text")).alias("topic")), targets=mixing.TARGETS)
     return mixed.filter("sampled").select(*COLUMNS)
 
 
