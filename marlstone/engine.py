@@ -2,28 +2,33 @@
 
 An index is one snapshot of four tables (files, chunks, postings, vectors) and
 a state. Building and updating are batch jobs; every query reads the snapshot
-that is current when it starts.
+that is current when it starts. At start the state is compared with the tree; an
+index found stale later is brought up to date by one background job at a time,
+while queries go on with what is there.
 """
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import subprocess
 import threading
 import time
 import uuid
+import warnings
+from collections.abc import Callable
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.config import EngineConfig
 from marlstone.functions import rules as R
 from marlstone.operators import changes, postings, split, stats, summary, vectors
 from marlstone.sources import tree
-from marlstone.sources.store import SnapshotStore
+from marlstone.sources.store import Files, SnapshotStore, VectorTable
 
 CALL_SCHEMA = "tool string, top_k double, mode string, output_text string, duration_ms bigint, ts timestamp, error string"
 #: The tools and their arguments: name, (argument, type, required, default).
@@ -55,24 +60,134 @@ def git_head(root: str) -> str | None:
         return None
 
 
+#: Calls that are held before they are written as one file, and for how long.
+HELD_CALLS, HELD_SECONDS = 64, 30.0
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, index: str, config: EngineConfig | None = None, embedder: vectors.Embedder | None = None):
+    def __init__(self, spark: SparkSession, index: str, config: EngineConfig | None = None, embedder: vectors.Embedder | None = None, remote: VectorTable | None = None):
         self.spark, self.config = spark, config or EngineConfig()
-        self.store = SnapshotStore(spark, index)
+        if self.config.vector_store != "local-jsonl" and remote is None:
+            raise ValueError(f"vector store {self.config.vector_store} is not part of this repository: hand in a VectorTable")
+        self.store, self.remote = SnapshotStore(spark, index), remote
         self.embedder = embedder or vectors.HashingEmbedder(self.config.dimension)
         self.calls_path = f"{index.rstrip('/')}/tool_calls"
-        self._building = threading.Lock()
+        self.stale = True
+        self._building, self._refreshing = threading.Lock(), threading.Lock()
+        self._held: list[tuple] = []
+        self._held_since, self._holding = 0.0, threading.Lock()
 
     # --- building
 
-    def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
-        chunks = split.split_files(files, max_chunk=self.config.max_chunk)
-        vectors_ = vectors.embed_chunks(chunks, self.embedder)
-        return {"chunks": chunks, "postings": postings.postings(chunks), "vectors": vectors_.filter("embedding is not null").drop("error")}
+    def _commit(self, files: DataFrame, mtimes: DataFrame, state: dict[str, Any], gone: DataFrame | None = None) -> int:
+        """Write a snapshot from the files read, and with gone what is kept of the one before; gives the number of texts without a vector.
+
+        The tree is read once, for the chunks; postings and vectors are made
+        from the chunks as written.
+        """
+        failed = Observation()
+        fresh = "chunks" if gone is None else "fresh_chunks"
+
+        def embedded(written: Callable[[str], DataFrame]) -> DataFrame:
+            rows = vectors.embed_chunks(written(fresh), self.embedder).observe(failed, F.count_if(F.col("embedding").isNull()).alias("n"))
+            return rows.filter("embedding is not null").drop("error")
+
+        def kept(name: str, of: Callable[[DataFrame], DataFrame]):
+            return lambda written: postings.replace_files(self.store.table(name), of(written(fresh)), gone)
+
+        split_ = split.split_files(files, max_chunk=self.config.max_chunk)
+        if gone is None:
+            tables = {"files": mtimes, "chunks": split_, "postings": lambda written: postings.postings(written("chunks")), "vectors": embedded}
+        else:
+            tables = {"files": mtimes, "fresh_chunks": split_, "chunks": kept("chunks", lambda c: c), "postings": kept("postings", postings.postings)}
+            old = self.store.table("vectors") if self.remote is None else None
+            tables["vectors"] = embedded if old is None else lambda written: old.withColumn("file", F.col("metadata.file")).join(gone, "file", "left_anti").drop("file").unionByName(embedded(written))
+        self.store.commit(tables, state)
+        if self.remote is not None:  # the snapshot holds the new vectors only
+            self.remote.drop() if gone is None else self.remote.delete_files(gone)
+            self.remote.append(self.store.table("vectors"))
+        n = failed.get["n"]
+        if n:
+            warnings.warn(f"{n} texts could not be embedded and are not found by search", stacklevel=3)
+        return n
 
     def _state(self, root: str, mtimes: DataFrame, files: int) -> dict[str, Any]:
-        mark = git_head(root) or changes.fingerprint(mtimes).first()[0]
-        return {"last_indexed_at": datetime.now(timezone.utc).isoformat(), "fingerprint": mark, "total_files": files, "project_path": root}
+        return {"last_indexed_at": datetime.now(timezone.utc).isoformat(), "fingerprint": self._mark(root, mtimes), "total_files": files, "project_path": root}
+
+    def _mark(self, root: str, mtimes: DataFrame) -> str:
+        return git_head(root) or changes.fingerprint(mtimes).first()[0]
+
+    def committed(self) -> dict[str, Any] | None:
+        """The state of the index; none if there is none, or if it can't be read."""
+        try:
+            return self.store.state()
+        except ValueError:
+            return None
+
+    def begin(self, root: str) -> str:
+        """At start: build, update or nothing, as the state asks; tells which. A tree that can't be read leaves the index stale."""
+        if not self.config.auto_index:
+            return "off"
+        state = self.committed()
+        if state is None:
+            self.index_project(root)
+            return "built"
+        try:
+            mark = self._mark(root, tree.scan_mtimes(self.spark, root, self.config.extensions))
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"the tree could not be compared with its index: {e}", stacklevel=2)
+            return "stale"
+        if mark == state["fingerprint"] and state["project_path"] == root:
+            self.stale = False
+            return "fresh"
+        return self._update_or_build(root)
+
+    def _update_or_build(self, root: str) -> str:
+        try:
+            self.update(root)
+            return "updated"
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"the update failed, the index is built anew: {e}", stacklevel=2)
+            self.index_project(root)
+            return "built"
+
+    def refresh(self, root: str) -> threading.Thread | None:
+        """If the index is stale, one background update at a time; a failing one leaves it stale, for the next call."""
+        if not self.stale or self.committed() is None or not self._refreshing.acquire(blocking=False):
+            return None
+
+        def run() -> None:
+            try:
+                self.update(root)
+            except Exception as e:  # noqa: BLE001
+                warnings.warn(f"the background update failed: {e}", stacklevel=2)
+            finally:
+                self._refreshing.release()
+
+        job = threading.Thread(target=run, daemon=True)
+        job.start()
+        return job
+
+    def _within(self, seconds: int, work: Callable[[], Any]) -> Any:
+        """work, its Spark jobs cancelled after so many seconds."""
+        context, group, late = self.spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(seconds, stop)
+        context.setJobGroup(group, "marlstone", interruptOnCancel=True)
+        timer.start()
+        try:
+            return work()
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"stopped after {seconds} seconds") from e
+            raise
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
 
     def index_project(self, root: str) -> dict[str, Any]:
         """Build the index of a tree from nothing."""
@@ -81,35 +196,29 @@ class Engine:
         with self._building:
             files = tree.scan(self.spark, root, self.config.extensions)
             mtimes = tree.scan_mtimes(self.spark, root, self.config.extensions)
-            state = self._state(root, mtimes, mtimes.count())
-            self.store.commit({"files": mtimes, **self._tables(files)}, state)
-        return self.statistics()
+            failed = self._commit(files, mtimes, self._state(root, mtimes, mtimes.count()))
+            self.stale = False
+        return {**self.statistics(), "failed_chunks": failed}
 
     def update(self, root: str) -> dict[str, Any]:
         """Bring the index up to date: only changed files are read again, the rest of the tables is carried over."""
-        state, old = self.store.state(), self.store.table("files")
+        state, old = self.committed(), self.store.table("files")
         if state is None or old is None or state["project_path"] != root:
             return self.index_project(root)
         with self._building:
             mtimes = tree.scan_mtimes(self.spark, root, self.config.extensions).cache()
             fresh_state = self._state(root, mtimes, mtimes.count())
             status = changes.diff(old, mtimes).filter("status <> 'same'").cache()
-            todo = [r[0] for r in status.filter("status <> 'deleted'").select("file").collect()]  # paths to list
-            if status.isEmpty():
-                if fresh_state["fingerprint"] != state["fingerprint"]:
-                    self.store.files.write(f"{self.store.current()}/state.json", json.dumps(fresh_state, indent=2))
-                return self.statistics()
-            built = self._tables(tree.scan_files(self.spark, root, todo))
-            gone = status.select("file")
-            out = {"files": mtimes}
-            for name in ("chunks", "postings"):
-                out[name] = postings.replace_files(self.store.table(name), built[name], gone)
-            kept = self.store.table("vectors").withColumn("file", F.col("metadata.file")).join(gone, "file", "left_anti").drop("file")
-            out["vectors"] = kept.unionByName(built["vectors"])
-            self.store.commit(out, fresh_state)
+            failed = 0
+            if not status.isEmpty():
+                files = tree.read_files(status.filter("status <> 'deleted'").repartition("file"), root)
+                failed = self._commit(files, mtimes, fresh_state, status.select("file"))
+            elif fresh_state["fingerprint"] != state["fingerprint"]:
+                self.store.files.write(f"{self.store.current()}/state.json", json.dumps(fresh_state, indent=2))
             status.unpersist()
             mtimes.unpersist()
-        return self.statistics()
+            self.stale = False
+        return {**self.statistics(), "failed_chunks": failed}
 
     def statistics(self) -> dict[str, Any]:
         return {"total_files": self.store.state()["total_files"], "total_chunks": self.store.table("chunks").count()}
@@ -125,7 +234,8 @@ class Engine:
     def code_search(self, query: str, top_k: Any = None) -> DataFrame:
         if not query:
             raise ValueError("query must not be empty")
-        return vectors.top_k(self._table("vectors"), self.embedder.embed([query])[0], integer(top_k, R.SEARCH_TOP_K))
+        table = self._table("vectors")
+        return vectors.top_k(table if self.remote is None else self.remote.read(), self.embedder.embed([query])[0], integer(top_k, R.SEARCH_TOP_K))
 
     def symbol_search(self, query: str, search_type: str = "all", top_k: Any = None) -> DataFrame:
         return postings.symbol_search(self._table("postings"), query, search_type, integer(top_k, R.SYMBOL_TOP_K))
@@ -154,13 +264,28 @@ class Engine:
                 raise ValueError(f"{name} must not be empty")
             args.setdefault(name, default)
         begun = time.monotonic()
-        text = getattr(self, f"_say_{tool}")(args)
+        if tool in ("code_search", "symbol_search", "impact_analysis") and self.config.auto_index and self.config.project_path:
+            self.refresh(self.config.project_path)
+        limit = self.config.index_timeout if tool == "index_project" else self.config.search_timeout
+        text = self._within(limit, lambda: getattr(self, f"_say_{tool}")(args))
         if self.config.stats_enabled and tool not in R.UNTRACKED_TOOLS:
             top_k = args.get("top_k")
             row = (tool, float(top_k) if isinstance(top_k, (int, float)) and not isinstance(top_k, bool) else None, args.get("mode"), text, int(1000 * (time.monotonic() - begun)), datetime.now(timezone.utc).replace(tzinfo=None), None)
-            self.spark.createDataFrame([row], CALL_SCHEMA).write.mode("append").parquet(self.calls_path)
+            with self._holding:
+                self._held_since = self._held_since if self._held else time.monotonic()
+                self._held.append(row)
+                full = len(self._held) >= HELD_CALLS or time.monotonic() - self._held_since > HELD_SECONDS
+            if full:
+                self.flush()
         return text
 
+    def flush(self) -> None:
+        """Write the calls that are held, as one file."""
+        with self._holding:
+            rows, self._held = self._held, []
+            if rows:
+                self.spark.createDataFrame(rows, CALL_SCHEMA).coalesce(1).write.mode("append").parquet(self.calls_path)
+
     def _say_code_search(self, args: dict[str, Any]) -> str:
         rows = vectors.search_report(self.code_search(args["query"], args["top_k"])).orderBy("rank").collect()  # top_k rows
         return "\n".join(f"--- {r.rank} ({r.score}) ---\n{r.file}\n\n{r.text}\n" for r in rows) or "未找到相关代码"
@@ -190,11 +315,17 @@ class Engine:
         return stats.report(stats.measured(self.calls(), self.config.chars_per_token, dict(self.config.baselines)), self.config.retention_days)
 
     def calls(self) -> DataFrame:
-        from marlstone.sources.store import Files
-
-        if Files(self.spark, self.calls_path).exists():
-            return self.spark.read.schema(CALL_SCHEMA).parquet(self.calls_path)
-        return self.spark.createDataFrame([], CALL_SCHEMA)
+        """All recorded calls, those held too; files that can't be read count as empty, with a warning."""
+        with self._holding:
+            held = self.spark.createDataFrame(list(self._held), CALL_SCHEMA)
+        if not Files(self.spark, self.calls_path).exists():
+            return held
+        stored = self.spark.read.schema(CALL_SCHEMA).option("ignoreCorruptFiles", "true").parquet(self.calls_path)
+        try:
+            self.spark.read.schema(CALL_SCHEMA).option("ignoreCorruptFiles", "false").parquet(self.calls_path).agg(F.max("ts")).first()
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"recorded calls could not all be read: {str(e)[:200]}", stacklevel=2)
+        return stored.unionByName(held)
 
 
 def answer(engine: Engine, request: dict[str, Any]) -> dict[str, Any] | None:
@@ -254,6 +385,9 @@ def main() -> None:
     if args.index:
         print(json.dumps(engine.index_project(args.index)))
         return
+    if config.project_path:
+        threading.Thread(target=engine.begin, args=(config.project_path,), daemon=True).start()
+    atexit.register(engine.flush)
     serve(engine, sys.stdin, lambda s: (sys.stdout.write(s), sys.stdout.flush()))
 
 

@@ -142,7 +142,7 @@ def files_sql(language: str) -> str:
 #: Documents as files of no known language.
 DOCUMENT_FILES = "select concat(source, '/', cast(doc_id as string), '.txt') as file, text as content from documents"
 PAGE_FILES = "select concat('pages/', cast(page_id as string), '.vue') as file, html as content from pages"
-#: Tool calls: events, with a conversation's text as the output, and some outputs that tell nothing was found.
+#: Tool calls: events, with every turn of every conversation as an output, and some outputs that tell nothing was found.
 CALLS = """
 select event_id,
   case event_type when 'view' then 'code_search' when 'click' then 'symbol_search' when 'purchase' then 'impact_analysis' when 'signup' then 'file_context' else 'token_stats' end as tool,
@@ -150,7 +150,21 @@ select event_id,
   case when event_id % 3 = 0 then 'summary' else 'full' end as mode,
   case when event_id % 11 = 0 then '未找到符号 x' when event_id % 13 = 0 then '请先索引项目' else coalesce(c.text, '') end as output_text,
   cast(floor(value) as bigint) as duration_ms, ts, case when event_id % 17 = 0 then 'failed' end as error
-from events e left join (select conv_id, max(text) as text from conversations group by conv_id) c on c.conv_id = e.event_id % 97
+from (select *, event_id % (select count(*) from conversations) as place from events) e
+left join (select text, row_number() over (order by conv_id, turn) - 1 as place from conversations) c on c.place = e.place
 """
+#: A tree: the Go files, some of them in directories that scans leave out, and files of other kinds.
+TREE_PATH = "concat(case p_partkey % 8 when 1 then 'node_modules/' when 2 then 'a/.git/' when 3 then 'dist/x/' when 4 then '.github/' else 'src/' end, 'f', cast(p_partkey as string), case p_partkey % 5 when 0 then '.GO' when 1 then '.css' when 2 then '.Md' else '.go' end)"
+
+
+def tree_sql(changed: bool = False) -> str:
+    """(file, content); changed: some files gone, some with another text, some new."""
+    _, text = TEMPLATES["go"]
+    where = " where p_partkey % 11 <> 0" if changed else " where p_partkey % 13 <> 0"
+    body = f"case when p_partkey % 7 = 0 then concat('package other', chr(10), chr(10), 'func Load', cast(p_partkey as string), '() {{', chr(10), '}}') else {_concat(text)} end" if changed else _concat(text)
+    body = f"concat(case when p_partkey % 5 = 2 then concat('# Part ', cast(p_partkey as string), chr(10)) else '' end, {body})"
+    return f"select {TREE_PATH} as file, {body} as content from part{where}"
+
+
 OLD_STATE = "select concat(source, '/', cast(doc_id as string)) as file, cast(n_chars as string) as mtime from documents where doc_id % 5 <> 0"
 NEW_STATE = "select concat(source, '/', cast(doc_id as string)) as file, cast(n_chars + case when doc_id % 7 = 0 then 1 else 0 end as string) as mtime from documents where doc_id % 3 <> 0"

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import rules as R
 from marlstone.functions import text as X
 from marlstone.operators import changes, postings, split, stats, summary, vectors
+from marlstone.sources import tree
+from marlstone.sources.store import JsonlVectors, ParquetVectors
 
 from . import corpus as C
 from . import dialect as D
@@ -46,6 +53,31 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: under the session's checkpoint folder; a session in one process may do without."""
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='marlstone-')}/{uuid.uuid4().hex}"
+
+
+def planted(spark: SparkSession, sf_dir: str, sql: str, root: str) -> str:
+    """The files of a statement (file, content) written as a tree; the folder."""
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = os.path.join(root, row["file"])
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8", newline="") as f:
+                    f.write(row["content"])
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows(spark, sf_dir, sql).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return root
+
+
 CHUNK_COLUMNS = ["file", "line_start", "line_end", "symbol", "type", "content"]
 
 # --- splitters
@@ -170,6 +202,85 @@ def symbol_search_python(spark, sf_dir):
     return postings.symbol_search(_py_postings(spark, sf_dir), "load_part_2", "all", 1000)
 
 
+_FOUND = _search(_GO, "load3", "all", 20)
+
+
+@query(f"select file, concat('--- ', file, ' ---', chr(10), string_agg(concat('  L', line, ': [', type, '] ', context), chr(10) order by line, symbol)) as report from ({_FOUND}) group by file")
+def symbol_report(spark, sf_dir):
+    return postings.search_report(postings.symbol_search(_go_postings(spark, sf_dir), "load3", "all"))
+
+
+# --- trees and indexes of them
+
+_SEEN = "not regexp_matches(file, '(^|/)(node_modules|[.]git|dist)/')"
+_SCANNED = f"{_SEEN} and regexp_matches(file, '(?i)[.](go|md)$')"
+
+
+@query(f"select file, cast(octet_length(encode(content)) as bigint) as length, sha256(content) as content from ({C.tree_sql()}) where {_SCANNED}")
+def tree_scan(spark, sf_dir):
+    """A tree written from the tables and scanned: extensions in either case, left out directories, hidden ones that are not."""
+    found = tree.scan(spark, planted(spark, sf_dir, C.tree_sql(), _local(spark)))
+    return found.select("file", "length", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+
+
+@query(f"select file, true as stamped from ({C.tree_sql()}) where {_SCANNED}")
+def tree_listing(spark, sf_dir):
+    found = tree.scan_mtimes(spark, planted(spark, sf_dir, C.tree_sql(), _local(spark)))
+    return found.select("file", F.col("mtime").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.]\d+)?Z$").alias("stamped"))
+
+
+@query(f"select file, sha256(content) as content from ({C.tree_sql()}) where {_SCANNED} and (file like '%3.go' or file like '%2.Md')")
+def tree_read_files(spark, sf_dir):
+    """Some files by name, as an update reads them; names that aren't there are passed over."""
+    root = planted(spark, sf_dir, C.tree_sql(), _local(spark))
+    names = tree.scan_mtimes(spark, root).filter("file like '%3.go' or file like '%2.Md'").select("file")
+    found = tree.read_files(names.union(names.select(F.concat(F.lit("gone/"), "file"))), root)
+    return found.select("file", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+
+
+@query(f"select file from ({C.tree_sql()}) where {_SCANNED} and file not like '%/.%' and file not like '.%'")
+def tree_store_files(spark, sf_dir):
+    """The same through Spark's own file reader, which lists no hidden names."""
+    return tree.store_files(spark, f"file://{planted(spark, sf_dir, C.tree_sql(), _local(spark))}").select("file")
+
+
+def _local(spark) -> str:
+    return re.sub(r"^file:/+", "/", shared_folder(spark))
+
+
+def _engine(spark, root):
+    from marlstone.config import EngineConfig
+    from marlstone.engine import Engine
+
+    return Engine(spark, shared_folder(spark), EngineConfig(dimension=16, project_path=root))
+
+
+def _tree_chunks(changed: bool) -> str:
+    files = f"select * from ({C.tree_sql(changed)}) where {_SCANNED}"
+    return f"select file, line_start, line_end, symbol, type, content from ({O.chunks('go', files + chr(32) + 'and file not like ' + chr(39) + '%.Md' + chr(39))}) union all select file, line_start, line_end, symbol, type, content from ({O.chunks('md', files + chr(32) + 'and file like ' + chr(39) + '%.Md' + chr(39))})"
+
+
+@query(_search(O.postings(_tree_chunks(False)), "load5", "all", 20))
+def index_symbol_search(spark, sf_dir):
+    """A tree is indexed, and the symbol looked up in the committed snapshot."""
+    root = planted(spark, sf_dir, C.tree_sql(), _local(spark))
+    engine = _engine(spark, root)
+    engine.begin(root)
+    return engine.symbol_search("load5")
+
+
+@query(f"select {_OUT} from ({O.postings(_tree_chunks(True))})")
+def index_update(spark, sf_dir):
+    """A tree is indexed, changed, and updated: the postings are those of the tree as it is then."""
+    root = planted(spark, sf_dir, C.tree_sql(), _local(spark))
+    engine = _engine(spark, root)
+    engine.begin(root)
+    shutil.rmtree(root)
+    planted(spark, sf_dir, C.tree_sql(True), root)
+    engine.begin(root)
+    return engine.store.table("postings").select(*_OUT.split(", "))
+
+
 _P_NAMES = "select concat(replace(p_name, ' ', '_'), cast(p_partkey as string)) as a, concat('get', replace(p_type, ' ', ''), 'HTTP') as b from part"
 
 
@@ -229,24 +340,45 @@ def cosine_pairs(spark, sf_dir):
     return a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")).cast("double"), 5).alias("score"))
 
 
-@query("select vec_id, true as no_score from embeddings")
+_ODD = "case vec_id % 5 when 0 then embedding when 1 then {zero} when 2 then {short} when 3 then {none} else {minus} end"
+_ODD_DUCK = _ODD.format(zero="list_transform(embedding, lambda x: cast(0 as float))", short="embedding[1:3]", none="cast([] as float[])", minus="list_transform(embedding, lambda x: -x)")
+
+
+@query(f"select vec_id, case when len(other) = len(embedding) and len(list_filter(other, lambda x: x <> 0)) > 0 then round(cast({O.cosine('embedding', 'other')} as double), 5) end as score from (select vec_id, embedding, {_ODD_DUCK} as other from embeddings)")
 def cosine_invalid(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings")
-    zero = F.transform("embedding", lambda x: x * F.lit(0).cast("float"))
-    short = F.slice("embedding", 1, 3)
-    none = F.array().cast("array<float>")
-    bad = [vectors.cosine(F.col("embedding"), c).isNull() for c in (zero, short, none)]
-    return e.select("vec_id", (bad[0] & bad[1] & bad[2]).alias("no_score"))
+    """Each vector against itself, a zero, a shorter, an empty and its opposite vector."""
+    other = F.expr(_ODD.format(zero="transform(embedding, x -> float(0))", short="slice(embedding, 1, 3)", none="cast(array() as array<float>)", minus="transform(embedding, x -> -x)"))
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.cosine(F.col("embedding"), other).cast("double"), 5).alias("score"))
 
 
 @query("select label, count(*) as n from embeddings where label not in (1, 3) group by label")
 def vector_delete_by_file(spark, sf_dir):
-    v = rows(spark, sf_dir, _VECTORS)
-    gone = v.select("metadata.file").filter("file in ('label_1', 'label_3')").distinct()
-    left = v.withColumn("file", F.col("metadata.file")).join(gone, "file", "left_anti")
+    """Through the stored table: written, two files deleted one after the other, read back."""
+    return _stored(JsonlVectors, spark, sf_dir)
+
+
+@query("select label, count(*) as n from embeddings where label not in (1, 3) group by label")
+def vector_delete_parquet(spark, sf_dir):
+    return _stored(ParquetVectors, spark, sf_dir)
+
+
+def _stored(kind, spark, sf_dir):
+    table = kind(spark, shared_folder(spark))
+    table.ensure()
+    empty = F.lit(None)
+    meta = F.struct(F.col("metadata.file").alias("file"), *[empty.cast(t).alias(n) for n, t in (("symbol", "string"), ("type", "string"), ("language", "string"), ("line_start", "int"), ("line_end", "int"), ("chunk_index", "int"))])
+    table.append(rows(spark, sf_dir, _VECTORS).withColumn("metadata", meta))
+    for gone in ("label_1", "label_3"):
+        table.delete_files(spark.createDataFrame([(gone,)], "file string"))
+    left = table.read().withColumn("file", F.col("metadata.file"))
     return left.groupBy(F.regexp_extract("file", r"(\d+)", 1).cast("int").alias("label")).agg(F.count("*").alias("n"))
 
 
+@query(f"select row_number() over (order by score desc, id) as rank, file, printf('%.4f', cast(score as double)) as score, concat('vector ', id) as text from ({_SCORES}) order by score desc, id limit 10")
+def search_report(spark, sf_dir):
+    return vectors.search_report(vectors.top_k(rows(spark, sf_dir, _VECTORS), _query_vector(spark, sf_dir), 10))
+
+
 @query("select count(*) as n from embeddings where len(embedding) = 64")
 def vector_count(spark, sf_dir):
     return vectors.check_dimension(rows(spark, sf_dir, _VECTORS), 64).agg(F.count("*").alias("n"))
@@ -300,17 +432,14 @@ def stats_daily(spark, sf_dir):
 @query(f"select strftime(day, '%Y-%m-%d') as day, * exclude (day) from ({_DAILY})")
 def stats_daily_stream(spark, sf_dir):
     """The same days from a stream: the calls are read as they come, up to what is there now."""
-    import tempfile
-    import uuid
-
     from marlstone.streaming import calls
 
-    name = f"calls_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    rows(spark, sf_dir, C.CALLS).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/{name}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}/in").schema).parquet(f"{folder}/{name}/in")
-    calls.start(calls.daily_stream(stream), name, f"{folder}/{name}/state", every=None).awaitTermination()
-    return spark.table(name).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    folder = shared_folder(spark)
+    rows(spark, sf_dir, C.CALLS).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    days = calls.DailyTable(spark, f"{folder}/days")
+    calls.start_updates(calls.daily_stream(stream, 36500), days.merge, f"{folder}/state", every=None).awaitTermination()
+    return days.rows().withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(f"select strftime(day, '%Y-%m-%d') as day, * exclude (day) from ({_DAILY}) where day >= (select max(day) from ({_DAILY})) - interval 10 day")
@@ -369,9 +498,9 @@ def _summary(language: str):
     return run
 
 
-def _summary_sql(language: str) -> str:
+def _summary_sql(language: str, files: str = "") -> str:
     """Line matches by pattern; block ends by running brace counts, headings and indents by the next line that ends them."""
-    files = C.files_sql(language)
+    files = files or C.files_sql(language)
     imports, functions, types = summary.PATTERNS[language]
     case = lambda ps: "case " + " ".join(f"when regexp_matches(t, {D.text(p[0])}) then regexp_extract(t, {D.text(p[0])}, {p[1]}) end" if len(ps) == 1 else f"when regexp_matches(t, {D.text(p[0])}) then regexp_extract(t, {D.text(p[0])}, {p[1]})" for p in ps) + ("" if len(ps) == 1 else " end")
     base = f"select file, n, line, {'line' if language == 'md' else D.trim('duckdb', 'line')} as t, count(*) over (partition by file) as lines, length(regexp_extract(line, '^[ \t]*', 0)) as indent from ({O.lines(files)})"
@@ -393,12 +522,27 @@ for _language, _name in (("go", "summary_go"), ("js", "summary_jsts"), ("md", "s
     query(_summary_sql(_language), _name)(_summary(_language))
 
 
+_CODE = f"select file, {D.extract('duckdb', 'content', R.SCRIPT_BODY, 1)} as content from ({_VUE})"
+query(f"select file, cast(length(content) - length(replace(content, chr(10), '')) + 1 as integer) as lines, kind, name, line, line_end from ({_summary_sql('js', _CODE)}) s join ({_VUE}) f using (file)", "summary_vue")(_summary("vue"))
+
+
 # --- filters and projections
 
 
-@query(f"select file, false as skipped from ({C.DOCUMENT_FILES}) where file not like '%/1%' union all select concat(file, ''), false from ({C.DOCUMENT_FILES}) where file like '%/1%'")
+_DIRS = "select concat(case doc_id % 6 when 0 then 'node_modules/' when 1 then 'a/.git/b/' when 2 then 'xdist/' when 3 then 'vendor' else '' end, source, '/', cast(doc_id as string), case when doc_id % 9 = 0 then '/dist' else '.txt' end) as file from documents"
+
+
+@query(f"select file, regexp_matches(file, '(^|/)(node_modules|[.]git|vendor|dist)/') as skipped from ({_DIRS})")
 def skipped_dirs(spark, sf_dir):
-    return rows(spark, sf_dir, C.DOCUMENT_FILES).select("file", X.in_skipped_dir(F.col("file")).alias("skipped"))
+    return rows(spark, sf_dir, _DIRS).select("file", X.in_skipped_dir(F.col("file")).alias("skipped"))
+
+
+_ALIASES = "select n_nationkey, case n_nationkey % 5 when 0 then 'Zilliz' when 1 then concat(' MILVUS', chr(10)) when 2 then '' when 3 then 'local' else n_name end as raw from nation"
+
+
+@query(f"select n_nationkey, case when lower(trim(raw, concat(' ', chr(9), chr(10)))) in ('zilliz', 'milvus') then 'zilliz' else 'local-jsonl' end as store from ({_ALIASES})")
+def store_aliases(spark, sf_dir):
+    return rows(spark, sf_dir, _ALIASES).select("n_nationkey", X.store_alias(F.col("raw")).alias("store"))
 
 
 _LABELS = "select p_partkey, concat(cast(p_partkey as string), '-', p_name, '.x') as raw from part union all select -p_partkey, concat(p_brand, ' ', p_type) from part"

@@ -15,6 +15,7 @@ import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -121,6 +122,21 @@ def scan_files(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
     return _read(spark, root, files=json.dumps(files))
 
 
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """The files named by a table (file), read where its rows are; those that are gone, too large or directories are passed over."""
+    base = os.path.abspath(root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("file").to_pylist():
+                for _, size, ns in listed(base, [path]):
+                    if size <= R.MAX_FILE_BYTES:
+                        with open(os.path.join(base, path), "rb") as f:
+                            yield pa.RecordBatch.from_pylist([{"file": path, "content": f.read().decode("utf-8", "replace"), "length": size, "mtime": stamp(ns)}])
+
+    return files.select("file").mapInArrow(read, SCHEMA)
+
+
 def scan_mtimes(spark: SparkSession, root: str, extensions: tuple[str, ...] = R.SCAN_EXTENSIONS) -> DataFrame:
     """file and mtime of a tree, of any size, without opening files."""
     return _read(spark, root, extensions=json.dumps(extensions), contents="false").select("file", "mtime")
@@ -135,7 +151,7 @@ def store_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = R.
 
     named = raw.withColumn("file", F.substr(path, F.length(base) + 2))
     kept = named.filter(extension(F.col("file")).isin(*extensions) & ~in_skipped_dir(F.col("file")) & (F.col("length") <= R.MAX_FILE_BYTES))
-    return kept.select("file", F.decode("content", F.lit("UTF-8")).alias("content"), "length", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSX").alias("mtime"))
+    return kept.select("file", F.decode("content", "UTF-8").alias("content"), "length", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSX").alias("mtime"))
 
 
 def read_inside(root: str, path: str) -> str:

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from marlstone.config import EngineConfig, collection_name
-from marlstone.engine import Engine, answer, integer
+from marlstone.engine import Engine, answer, integer, serve
 from marlstone.functions import text as X
 from marlstone.operators import stats, summary, vectors
 from marlstone.sources import tree
@@ -180,3 +180,155 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     days = S.daily_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "calls")))
     S.start(days, "daily_calls", str(tmp_path / "cp"), every=None).awaitTermination()
     assert sorted(map(tuple, spark.table("daily_calls").collect())) == sorted(map(tuple, stats.daily(stats.measured(df)).collect()))
+
+
+@pytest.fixture
+def engine(spark, project, tmp_path):
+    return Engine(spark, str(tmp_path / "index"), EngineConfig(dimension=16, project_path=str(project), stats_enabled=True))
+
+
+def test_the_index_is_checked_at_start(spark, project, engine, monkeypatch):
+    root = str(project)
+    assert engine.stale and engine.begin(root) == "built" and not engine.stale
+    assert engine.begin(root) == "fresh"
+    (project / "main.go").write_text("package p\n\nfunc Renamed() {}\n")
+    assert engine.begin(root) == "updated" and engine.symbol_search("Renamed").count() == 1
+    # a failing update falls back to a full build
+    (project / "UP.GO").unlink()
+    with monkeypatch.context() as m:
+        m.setattr(tree, "read_files", None)
+        m.setattr(Engine, "update", lambda self, root: 1 / 0)
+        with pytest.warns(UserWarning, match="built anew"):
+            assert engine.begin(root) == "built"
+    assert engine.store.table("files").count() == 4
+    # a state that can't be read is built anew, by begin as by update
+    for go in (engine.begin, engine.update):
+        engine.store.files.write(f"{engine.store.current()}/state.json", "{no json")
+        assert engine.committed() is None and go(root) and engine.committed()["total_files"] == 4
+    # a tree that can't be read leaves the index as it is, but stale
+    engine.stale = True
+    with pytest.warns(UserWarning, match="could not be compared"), monkeypatch.context() as m:
+        m.setattr(tree, "scan_mtimes", lambda *a: 1 / 0)
+        assert engine.begin(root) == "stale" and engine.stale
+    assert Engine(spark, "x", EngineConfig(auto_index=False)).begin(root) == "off"
+
+
+def test_one_background_update_at_a_time(project, engine):
+    assert engine.refresh(str(project)) is None  # nothing to refresh yet
+    engine.index_project(str(project))
+    assert engine.refresh(str(project)) is None  # not stale
+    (project / "new.go").write_text("package p\n\nfunc Fresh() {}\n")
+    engine.stale = True
+    with engine._building:  # held up: queries go on, and no second job starts
+        job = engine.refresh(str(project))
+        assert job.is_alive() and engine.refresh(str(project)) is None
+        assert engine.symbol_search("Fresh").count() == 0
+    job.join(60)
+    assert not engine.stale and engine.symbol_search("Fresh").count() == 1
+    engine.stale = True
+    assert "new.go" in engine.call("symbol_search", {"query": "Fresh"})  # a search starts the update by itself
+    with engine._refreshing:
+        assert not engine.stale
+
+
+def test_work_is_stopped_in_time(spark, engine):
+    from pyspark.sql import functions as F
+
+    slow = lambda: spark.range(4).select(F.expr("java_method('java.lang.Thread', 'sleep', 20000L + id)")).collect()
+    with pytest.raises(TimeoutError):
+        engine._within(1, slow)
+    assert engine._within(30, lambda: spark.range(3).count()) == 3
+    with pytest.raises(ZeroDivisionError):
+        engine._within(30, lambda: 1 / 0)
+
+
+def test_calls_are_held_and_written_together(project, engine):
+    engine.index_project(str(project))
+    for _ in range(3):
+        engine.call("symbol_search", {"query": "LoadConfig"})
+    assert not os.path.exists(engine.calls_path) and engine.calls().count() == 3
+    engine.flush()
+    engine.flush()
+    assert len([f for f in os.listdir(engine.calls_path) if f.endswith(".parquet")]) == 1 and engine.calls().count() == 3
+    (bad := os.path.join(engine.calls_path, "bad.parquet"))
+    with open(bad, "wb") as f:
+        f.write(b"PAR1 no table PAR1")
+    with pytest.warns(UserWarning, match="recorded calls"):
+        assert engine.calls().count() == 3
+
+
+def test_texts_without_a_vector_are_counted(spark, project, tmp_path):
+    class Half:
+        dimension = 2
+
+        def embed(self, texts):
+            if any("LoadConfig" in t for t in texts):
+                raise RuntimeError("no")
+            return [[1.0, 0.0] for _ in texts]
+
+    engine = Engine(spark, str(tmp_path / "i"), EngineConfig(dimension=2), Half())
+    with pytest.warns(UserWarning, match="2 texts could not be embedded"):
+        out = engine.index_project(str(project))
+    assert out["failed_chunks"] == 2 and engine.store.table("vectors").count() == out["total_chunks"] - 2
+
+
+def test_a_remote_vector_table(spark, project, tmp_path):
+    config = EngineConfig(dimension=16, vector_store="zilliz")
+    with pytest.raises(ValueError, match="zilliz"):
+        Engine(spark, str(tmp_path / "i"), config)
+    remote = ParquetVectors(spark, str(tmp_path / "remote"))
+    engine = Engine(spark, str(tmp_path / "i"), config, remote=remote)
+    total = engine.index_project(str(project))["total_chunks"]
+    assert remote.count() == total and engine.code_search("func LoadConfig Save", 1).first().file == "main.go"
+    (project / "main.go").unlink()
+    total = engine.update(str(project))["total_chunks"]
+    assert remote.count() == total and remote.read().filter("metadata.file = 'main.go'").isEmpty()
+
+
+def test_a_deletion_that_is_cut_off_loses_nothing(spark, tmp_path, monkeypatch):
+    table = JsonlVectors(spark, str(tmp_path / "v"))
+    schema = "id string, text string, embedding array<float>, metadata struct<file:string,symbol:string,type:string,language:string,line_start:int,line_end:int,chunk_index:int>"
+    table.append(spark.createDataFrame([(f"d{i}", "t", [1.0], (f"{i % 3}.go", None, None, None, None, None, None)) for i in range(6)], schema))
+    one, two = (spark.createDataFrame([(f,)], "file string") for f in ("1.go", "2.go"))
+    with monkeypatch.context() as m:
+        m.setattr(table.files, "write", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            table.delete_files(one)
+    assert table.count() == 6
+    table.delete_files(one)
+    table.delete_files(two)
+    assert {r.id for r in table.read().collect()} == {"d0", "d3"}
+    table.append(table.read().filter("id = 'd0'"))
+    assert table.count() == 3
+
+
+def test_lines_are_served(project, engine):
+    engine.index_project(str(project))
+    out = []
+    serve(engine, ['{"id": 1, "method": "initialize"}\n', "\n", "no json\n", '{"method": "notifications/initialized"}\n', '{"id": 2, "method": "ping"}\n', '{"id": 3, "method": "tools/call", "params": {"name": "symbol_search", "arguments": {"query": "LoadConfig"}}}\n'], out.append)
+    replies = [json.loads(x) for x in out]
+    assert [r.get("id") for r in replies] == [1, None, 2, 3] and replies[1]["error"]["code"] == -32700
+    assert replies[0]["result"]["serverInfo"]["name"] == "marlstone" and "main.go" in replies[3]["result"]["content"][0]["text"]
+
+
+def test_days_are_merged_from_updates(spark, tmp_path):
+    from datetime import datetime
+
+    schema = "tool string, top_k double, mode string, output_text string, duration_ms bigint, ts timestamp, error string"
+    days = S.DailyTable(spark, str(tmp_path / "days"))
+    everything = []
+    for part in range(3):
+        rows = [("code_search", 3.0, None, "text " * k, 10, datetime(2024, 1, 1 + (k + part) % 3, 5), None) for k in range(5)]
+        everything += rows
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "calls"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "calls"))
+        S.start_updates(S.daily_stream(stream), days.merge, str(tmp_path / "cp"), every=None).awaitTermination()
+    want = stats.daily(stats.measured(spark.createDataFrame(everything, schema)))
+    assert sorted(map(tuple, days.rows().select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    days.merge(days.rows().limit(0), 0)  # an old batch that comes again
+    assert days.rows().count() == 3
+
+
+def test_a_store_that_only_spark_reads(spark, project):
+    got = {r.file: r.content for r in tree.store_files(spark, f"file://{project}").collect()}
+    assert {"main.go", "a/b/deep.go", "UP.GO"} == set(got) and "node_modules/lib.go" not in got and "style.css" not in got
