@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Shares of the sample's tokens that the registered query and the pipeline ask for; sources have none and are tempered.
@@ -225,14 +225,14 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     state = cells.withColumn("raked", F.col("tokens").cast("double"))
     wanted = {d: goals(cells, d, targets, temper).withColumn("goal", F.col("goal") * float(total)) for d in dims}
-    state = cut(state)
+    state = written(state)
     off = 0.0
     for _ in range(MAX_ROUNDS):
         for d in dims:
             margin = state.groupBy(F.col(d).alias("key")).agg(F.sum("raked").alias("margin")).join(wanted[d], "key")
             factor = margin.select("key", F.when(F.col("margin") > 0, F.col("goal") / F.col("margin")).otherwise(0.0).alias("factor"))
             state = state.join(factor, state[d] == factor["key"]).withColumn("raked", F.col("raked") * F.col("factor")).drop("key", "factor")
-        state = cut(state)
+        state = written(state)
         off = 0.0
         for d in dims[:-1]:  # the last has just been met
             margin = state.groupBy(F.col(d).alias("key")).agg(F.sum("raked").alias("margin")).join(wanted[d], "key")
@@ -278,7 +278,7 @@ def calibrate(cells: DataFrame, keep: float, targets: dict[str, dict[str, float]
     for k, d in enumerate(dims):
         goal = reachable(asked[d], cells, d, keep, total).select(F.col("key").alias(f"key_{k}"), F.col("goal").alias(f"goal_{k}"))
         state = state.join(goal, F.col(d) == F.col(f"key_{k}")).drop(f"key_{k}")
-    state = cut(state)
+    state = written(state)
     given = F.least("own", "free")
     for _ in range(MAX_ROUNDS):
         pairs = [F.struct(F.lit(k).alias("dim"), F.col(d).alias("key"), F.col(f"goal_{k}").alias("goal")) for k, d in enumerate(dims)]
@@ -300,7 +300,7 @@ def calibrate(cells: DataFrame, keep: float, targets: dict[str, dict[str, float]
             state = state.withColumn("factor", F.coalesce(factor, F.lit(1.0)))
             # a cell far beyond its bound stays there
             state = state.withColumn("free", F.least(F.col("free") * F.col("factor"), F.col("own") * 1e12)).drop("ratio", "root", "factor")
-        state = cut(state)
+        state = written(state)
     state = state.withColumn("probability", F.when(F.col("own") > 0, given / F.col("own")).otherwise(F.lit(1.0)))
     missed = [x for d in dims for x in _shares(state.withColumn("expected", given), asked[d], d, ["expected"]).filter(F.abs(F.col("expected") - F.col("target")) > SLACK).orderBy(F.desc(F.abs(F.col("expected") - F.col("target")))).limit(10).collect()]
     _report([(x.dimension, x.category, x.expected, x.target) for x in missed], keep)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import cut, meet, with_hot
+from .shared import cut, meet, with_hot, written
 
 SHINGLE = 5
 BANDS, ROWS = 36, 8
@@ -208,21 +208,22 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. A round's moves are kept, and put together at
     the end. Nothing but the number of edges left comes to the driver.
     """
-    edges = cut(edges.select("a", "b").filter("a <> b").distinct())
+    edges = written(edges.select("a", "b").filter("a <> b").distinct())
     moves = []
     while not edges.isEmpty():
         rank = (lambda c: F.col(c)) if not moves else lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("h"), F.col(c).alias("to"))
         both = edges.select("a", rank("b").alias("r")).union(edges.select(F.col("b").alias("a"), rank("a").alias("r")))
         least = F.least(F.min("r"), F.first(rank("a"))) if not moves else F.least(F.min("r"), rank("a"))["to"]
-        moves.append(cut(both.groupBy("a").agg(least.alias("to"))))
+        moves.append(written(both.groupBy("a").agg(least.alias("to"))))
         x = edges.join(moves[-1].withColumnRenamed("to", "x"), "a")
-        edges = cut(x.join(moves[-1].select(F.col("a").alias("b"), F.col("to").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct())
+        edges = written(x.join(moves[-1].select(F.col("a").alias("b"), F.col("to").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct())
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     label = moves[-1].select(F.col("a").alias("node"), F.col("to").alias("label"))
     for step in reversed(moves[:-1]):
         on = label.select(F.col("node").alias("to"), "label")
         label = step.join(on, "to", "left").select(F.col("a").alias("node"), F.coalesce("label", "to").alias("label"))
+    label = written(label)
     low = label.groupBy("label").agg(F.min("node").alias("low"))
     return label.join(low, "label").select("node", F.col("low").alias("label"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table in the shared folder, for small tables of many rounds.
+
+    A checkpoint takes along the planner's estimate of its size, a product over
+    all joins before it: within some ten rounds that number alone has millions
+    of digits. A table has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows that may be sent to all executors: a few numbers each, some 10 MB in all.
 SENT_ROWS = 100_000
 #: Keys with fewer rows are never hot.
