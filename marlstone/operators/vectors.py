@@ -133,14 +133,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm > 0), (dot(a, b) / norm).cast("float"))
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int = R.SEARCH_TOP_K) -> DataFrame:
-    """id, file, text, score: the k nearest of vectors (id, text, embedding, metadata.file); ties by id.
+def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """id, file, text, score of the vectors (id, text, embedding, metadata.file) that have a cosine with query, a literal of its dimension."""
+    q = F.array(*[F.lit(float(np.float32(x))) for x in query])
+    return vectors.select("id", F.col("metadata.file").alias("file"), "text", cosine(F.col("embedding"), q).alias("score")).filter("score is not null")
+
 
-    The query is a literal of its dimension; the plan is one pass and TakeOrderedAndProject.
+def top_k(vectors: DataFrame, query: list[float], k: int = R.SEARCH_TOP_K, by: Callable[[Column], Column] = lambda score: score) -> DataFrame:
+    """id, file, text, score: the k nearest of vectors; ties by id. by(score) is what is compared: scores that it makes equal are ties.
+
+    The plan is one pass and TakeOrderedAndProject.
     """
-    q = F.array(*[F.lit(float(np.float32(x))) for x in query])
-    scored = vectors.select("id", F.col("metadata.file").alias("file"), "text", cosine(F.col("embedding"), q).alias("score")).filter("score is not null")
-    return scored.orderBy(F.desc("score"), "id").limit(k if k > 0 else R.SEARCH_TOP_K)
+    return scored(vectors, query).orderBy(F.desc(by(F.col("score"))), "id").limit(k if k > 0 else R.SEARCH_TOP_K)
 
 
 def search_report(hits: DataFrame) -> DataFrame:

@@ -35,5 +35,21 @@ def test_same_rows_as_duckdb(spark, duck, name):
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), columns)
 
 
+def same_as_duckdb(spark, folder, name, vectors):
+    """The query on a table of these vectors, in the SQL's order."""
+    table = spark.createDataFrame([(k, v, k % 3) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    table.write.parquet(f"{folder}/embeddings.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
+        want = c.execute(Q.ORACLE_SQL[name])
+        columns = [d[0] for d in want.description]
+        assert [tuple(r) for r in Q.QUERIES[name](spark, str(folder)).select(*columns).collect()] == want.fetchall()
+
+
+def test_scores_equal_when_rounded_are_ties(spark, tmp_path):
+    """Scores fall by less than 1e-5 from row to row, against the order of ids."""
+    same_as_duckdb(spark, tmp_path, "cosine_topk", [[1.0, 0.0], *([1.0, 0.0001 * (41 - k)] for k in range(1, 41))])
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
