@@ -126,17 +126,21 @@ def safely(embed: Callable[[list[str]], list[list[float]]], texts: list[str]) ->
         return vectors, errors
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision, summed from left to right; null for empty, unequal or zero vectors."""
+def cosine(a: Column, b: Column, length: Column | None = None) -> Column:
+    """Cosine in double precision, summed from left to right; null for empty, unequal or zero vectors. length: that of b, if known."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    norm = F.sqrt(dot(a, a)) * (F.sqrt(dot(b, b)) if length is None else length)
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm > 0), (dot(a, b) / norm).cast("float"))
 
 
 def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
-    """id, file, text, score of the vectors (id, text, embedding, metadata.file) that have a cosine with query, a literal of its dimension."""
-    q = F.array(*[F.lit(float(np.float32(x))) for x in query])
-    return vectors.select("id", F.col("metadata.file").alias("file"), "text", cosine(F.col("embedding"), q).alias("score")).filter("score is not null")
+    """id, file, text, score of vectors (id, text, embedding, metadata.file): the cosine with query, a literal of its dimension, or null."""
+    q = [float(np.float32(x)) for x in query]
+    length = 0.0
+    for x in q:  # in the order of cosine's own sum
+        length += x * x
+    score = cosine(F.col("embedding"), F.array(*map(F.lit, q)), F.lit(math.sqrt(length)))
+    return vectors.select("id", F.col("metadata.file").alias("file"), "text", score.alias("score"))
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = R.SEARCH_TOP_K, by: Callable[[Column], Column] = lambda score: score) -> DataFrame:
@@ -144,16 +148,40 @@ def top_k(vectors: DataFrame, query: list[float], k: int = R.SEARCH_TOP_K, by: C
 
     The plan is one pass and TakeOrderedAndProject.
     """
-    return scored(vectors, query).orderBy(F.desc(by(F.col("score"))), "id").limit(k if k > 0 else R.SEARCH_TOP_K)
+    return scored(vectors, query).filter("score is not null").orderBy(F.desc(by(F.col("score"))), F.asc_nulls_last("id")).limit(k if k > 0 else R.SEARCH_TOP_K)
+
+
+def ranked_top_k(vectors: DataFrame, query: list[float], k: int = R.SEARCH_TOP_K, by: Callable[[Column], Column] = lambda score: score) -> DataFrame:
+    """top_k's rows in its order, with the rank that each has among all vectors by whole score, then id.
+
+    A second pass compares every score with the k rows, which are broadcast.
+    """
+    from pyspark.sql import Window
+
+    hits = top_k(vectors, query, k, by).withColumn("copy", F.row_number().over(Window.partitionBy("id", "score").orderBy("file", "text")))  # k rows
+    hits = hits.select(F.struct("id", "file", "text", "score").alias("hit"), "copy")
+    level = F.col("score") == F.col("hit.score")
+    above = (F.col("score") > F.col("hit.score")) | level & F.coalesce(F.col("id") < F.col("hit.id"), F.col("id").isNotNull())
+    same = level & F.col("id").eqNullSafe(F.col("hit.id"))
+    counted = scored(vectors, query).select("id", "score").join(F.broadcast(hits), above | same).groupBy("hit", "copy").agg(F.count_if(above).alias("before"))
+    return counted.select("hit.*", (F.col("before") + F.col("copy")).alias("rank")).orderBy(F.desc(by(F.col("score"))), F.asc_nulls_last("id"), "rank")
+
+
+def shown_score(score: Column) -> Column:
+    """Four digits; halves go to the even digit, as C and Go print them."""
+    whole = score.cast("double")
+    return F.format_string("%.4f", F.coalesce(F.nullif(F.bround(whole, 4), F.lit(0.0)), whole))  # bround loses the sign of -0.0
 
 
 def search_report(hits: DataFrame) -> DataFrame:
+    """rank, file, score and text of hits as they are shown; hits without a rank are ranked by score, then id."""
     from pyspark.sql import Window
 
     from marlstone.functions.text import shown
 
-    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # k rows
-    return ranked.select("rank", "file", F.format_string("%.4f", F.col("score").cast("double")).alias("score"), shown(F.col("text")).alias("text"))
+    if "rank" not in hits.columns:
+        hits = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc_nulls_last("id"))))  # k rows
+    return hits.select("rank", "file", shown_score(F.col("score")).alias("score"), shown(F.col("text")).alias("text"))
 
 
 def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:

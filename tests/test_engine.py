@@ -124,6 +124,14 @@ def test_cosine(spark):
     assert all(r.got == r.want for r in rows.withColumn("got", vectors.cosine(F.col("a"), F.col("b"))).collect())
 
 
+def test_ranks_among_all_vectors(spark):
+    rows = [("a", 0.0), ("b", 0.001), ("b", 0.001), (None, 0.001), (None, 0.0), ("c", 1.0)]
+    table = spark.createDataFrame([(i, "t", [1.0, y], ("f",)) for i, y in rows] + [("d", "t", [0.0, 0.0], ("f",))], "id string, text string, embedding array<float>, metadata struct<file:string>")
+    hits = vectors.ranked_top_k(table, [1.0, 0.0], 4, by=vectors.shown_score)
+    *known, last = [(r.id, r["rank"]) for r in hits.collect()]
+    assert known == [("a", 1), ("b", 3), ("b", 4)] and last in [(None, 2), (None, 5)]  # either of the null ids, which tie
+
+
 def test_failing_texts_are_left_out():
     def embed(texts):
         if "bad" in texts:

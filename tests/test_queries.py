@@ -51,5 +51,14 @@ def test_scores_equal_when_rounded_are_ties(spark, tmp_path):
     same_as_duckdb(spark, tmp_path, "cosine_topk", [[1.0, 0.0], *([1.0, 0.0001 * (41 - k)] for k in range(1, 41))])
 
 
+def test_report_takes_rows_by_the_shown_score(spark, tmp_path):
+    """Ranks among all rows, beyond 10; 1/32 is a half at four digits; scores under zero are compared as texts."""
+    near = [[1.0, 0.0], *([1.0, 0.0001 * (41 - k)] for k in range(1, 41))]
+    same_as_duckdb(spark, tmp_path / "near", "search_report", near)
+    assert max(r["rank"] for r in Q.QUERIES["search_report"](spark, str(tmp_path / "near")).collect()) > 10
+    halves = [[1.0, 0.0, 0.0, 0.0, 0.0], [1.0, 31.0, 7.0, 3.0, 2.0], [3.0, 31.0, 7.0, 2.0, 1.0], [5.0, 31.0, 1.0, 6.0, 1.0]]
+    same_as_duckdb(spark, tmp_path / "halves", "search_report", halves + [[-x for x in v] for v in halves] + [[-1e-6, 1.0, 0.0, 0.0, 0.0]] + halves)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
